@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,35 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def _digest(df: DataFrame) -> tuple:
     row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
     return row.n, row.x
+
+
+def grouped(batches, n_keys: int):
+    """Arrow batches sorted by their first ``n_keys`` columns -> one table per run of equal keys."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)]
+        cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = tuple(k[a] for k in keys)
+            if held and own != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            key = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def join_sets(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union by smallest index: afterwards a[i] and b[i] have one label, in place."""
+    while True:
+        x, y = labels[a], labels[b]
+        differ = x != y
+        if not differ.any():
+            return
+        x, y = x[differ], y[differ]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(labels, up := labels[labels]):
+            labels[:] = up

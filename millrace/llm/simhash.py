@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, read_table
+from .common import Scratch, components, grouped, join_sets, read_table
 
 RADIUS = 4
 SHINGLE = 4
@@ -61,19 +61,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return both.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the sets of a[i] and b[i]; a label is the smallest index of its set."""
-    while True:
-        x, y = labels[a], labels[b]
-        differ = x != y
-        if not differ.any():
-            return
-        x, y = x[differ], y[differ]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(labels, up := labels[labels]):
-            labels[:] = up
-
-
 def linked(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (fp, smallest fp of its set) among distinct fingerprints within the radius.
     With ``side`` only pairs from different sides are compared."""
@@ -92,7 +79,7 @@ def linked(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, tile:
                 near &= sides[i : i + tile, None] != sides[None, j : j + tile]
             a, b = np.nonzero(near)
             later = a + i < b + j
-            _union(labels, a[later] + i, b[later] + j)
+            join_sets(labels, a[later] + i, b[later] + j)
     smallest = np.full(len(x), np.iinfo(np.int64).max)
     signed = x.view(np.int64)
     np.minimum.at(smallest, labels, signed)
@@ -103,34 +90,12 @@ def linked(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, tile:
 
 def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, part, fp) sorted by (key, i, j): the links of each group of equal (key, i, j)."""
-    held: list[np.ndarray] = []
-
-    def links(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return linked(np.ascontiguousarray(rows[4]), rows[3] if rows[1, 0] != rows[2, 0] else None)
-
-    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        src, dst = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        if held:
-            rows = np.concatenate([*held, rows], axis=1) if _same(held[-1][:, -1], rows[:, 0]) else rows
-            if rows.shape[1] == batch.num_rows:  # another group begins with this batch
-                yield packed([links(np.concatenate(held, axis=1))])
-        starts = np.flatnonzero(np.any(rows[:3, 1:] != rows[:3, :-1], axis=0)) + 1
-        ends = [0, *starts.tolist()]
-        found = [links(rows[:, a:b]) for a, b in zip(ends, ends[1:], strict=False) if b - a > 1]
-        held = [rows[:, ends[-1] :]]
-        yield packed(found)
-    if held and held[0].shape[1]:
-        yield packed([links(np.concatenate(held, axis=1))])
-
-
-def _same(a: np.ndarray, b: np.ndarray) -> bool:
-    return bool((a[:3] == b[:3]).all())
+    for group in grouped(batches, 3):
+        if group.num_rows > 1:
+            crossed = group.column("i")[0] != group.column("j")[0]
+            src, dst = linked(group.column("fp").to_numpy(), group.column("part").to_numpy() if crossed else None)
+            if len(src):
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
 
 def near_links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
