@@ -9,6 +9,7 @@ from .mixing import OP9_SQL, op9_mixing
 from .quality import op10_quality
 from .sharding import op1_sharding
 from .simhash import op2_simhash_near_dedup
+from .suffix_dedup import op7_suffix_dedup
 from .topk import OP6_SQL, op6_exact_topk
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_exact_topk": op6_exact_topk,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
