@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, grouped, join_sets, read_table
@@ -51,14 +51,21 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.int64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.int64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["doc_id", "row", "fp"])
+
+
+def row_name(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """64 bits of id and text, null or not."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row."""
-    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return both.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, row, fp) for every row; ``row`` is its name."""
+    three = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), row_name(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")
+    )
+    return three.mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
 
 def linked(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +134,7 @@ def near_links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable by links of
+    """(doc_id, row, fp, component, component_id) for every row: component_id is the smallest doc_id reachable by links of
     ``RADIUS`` differing bits or fewer. Null and wordless texts have fingerprint 0 and link like any other;
     repeated rows stay; a null doc_id keeps its row and is never a component's name unless all are null."""
     scratch = Scratch(docs.sparkSession, "simhash")
@@ -139,10 +146,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "component", F.coalesce("component", "fp")
     )
     name = member.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = member.join(name, "component").select("fp", "component_id")
+    named = member.join(name, "component").select("fp", "component", "component_id")
     return rows.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id (null ids last); the
+    same columns."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    found = scratch.save(near_duplicates(docs, id_col, text_col))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    chosen = found.groupBy("component").agg(first, F.count("*").alias("n")).select(F.col("first.row").alias("chosen"), "n")
+    chosen = scratch.save(chosen)
+    kept = docs.join(chosen.select("chosen"), row_name(id_col, text_col) == F.col("chosen"), "left_semi")
+    if found.count() == found.select("row").distinct().count():
+        return kept
+    named = kept.withColumn("_row_name", row_name(id_col, text_col))  # rows may repeat as a whole
+    return named.dropDuplicates(["_row_name"]).drop("_row_name")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -291,8 +291,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = merged([(s["start"], s["end"]) for s in [*(spans.as_py() or ()), *(more.as_py() or ())]])
             edges = [0, *itertools.chain.from_iterable(runs), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-        columns = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            out.append((len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+        columns = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["r1", "r2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
@@ -347,12 +347,13 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         .where((F.size("spans") > 0) | F.col("more").isNotNull())
         .select("r1", "r2", "text", "spans", "more")
     )
-    return hit.mapInArrow(_remove, f"{ROW}, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return hit.mapInArrow(_remove, f"{ROW}, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``docs`` in a struct column ``record`` (so no name can clash), with n_bytes, n_removed, n_spans,
-    kept_sha256 and ``kept``, the bytes left (null: all of them). Null texts count as empty, texts under
+    kept_sha256 and ``kept``, the text left (null: all of it; characters cut at the edge of a removed run go
+    from it, the digest covers all bytes left). Null texts count as empty, texts under
     SPAN bytes hold no repeat, repeated rows repeat each other; an empty table gives an empty table."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     # repeated rows have one row id and the same result
