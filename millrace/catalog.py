@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import core, corpus, structure
+
+_PARTS = (core.R, corpus.R, structure.R)
+QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.sql.items()}
