@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import core, corpus, structure
+from .queries import core, corpus, programs, structure
 
-_PARTS = (core.R, corpus.R, structure.R)
+_PARTS = (core.R, corpus.R, structure.R, programs.R)
 QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.sql.items()}
