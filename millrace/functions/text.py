@@ -25,6 +25,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(normalize(text), " "), lambda t: (t != "") & ~F.array_contains(stop, t))
 
 
+def token_set(text: Column) -> Column:
+    """The distinct tokens, by one hashed set difference."""
+    return F.array_except(F.split(normalize(text), " "), F.array(*[F.lit(w) for w in ["", *STOP_WORDS]]))
+
+
 def shingles(words: Column, k: int) -> Column:
     """All runs of k words, space-joined; a shorter text is one run; none for no words. The words are bound
     once (as the element of a one-element array): inside the inner function they would be computed anew for

@@ -17,7 +17,7 @@ NEAR = 0.8
 def signatures(df: DataFrame, id_col: str, text_col: str, permutations: int = PERMUTATIONS) -> DataFrame:
     """(id, sig): the least hash of the text's tokens under each seed, as 16 hex digits; a text without
     tokens counts as the token <empty>."""
-    words = F.array_distinct(T.tokens(F.col(text_col)))
+    words = T.token_set(F.col(text_col))
     told = df.select(F.col(id_col).alias("id"), F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("<empty>"))).alias("words"))
 
     def least(seed: int) -> Column:
@@ -39,6 +39,11 @@ def star_links(banded: DataFrame) -> DataFrame:
     return banded.join(heads, ["band", "key"]).where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
 
 
+def candidate_links(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Star links of a table of texts; band keys are written once, as both sides of the join read them."""
+    return star_links(Scratch(df.sparkSession, "bands").save(band_keys(signatures(df, id_col, text_col))))
+
+
 def families(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, family): everything that shares a band is one family, named by its smallest id."""
     scratch = Scratch(df.sparkSession, "families")
@@ -53,7 +58,7 @@ def verified_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
     least the threshold. Equal token sets are compared once, through their smallest ids, and handed back as
     pairs with that id, so a group of copies costs a row a copy."""
     scratch = Scratch(df.sparkSession, "pairs")
-    words = F.array_sort(F.array_distinct(T.tokens(F.col(text_col))))
+    words = F.array_sort(T.token_set(F.col(text_col)))
     told = df.select(F.col(id_col).alias("id"), words.alias("words")).where(F.size("words") > 0)
     keyed = scratch.save(told.withColumn("set", F.sha2(F.array_join("words", " "), 256)))
     sets = keyed.groupBy("set").agg(F.min("id").alias("id"))

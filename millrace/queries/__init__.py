@@ -26,3 +26,10 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of few files (or row groups) dealt out by ``key`` for work that is heavy per row; a scan with
+    at least as many partitions as cores, as any large table has, stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import collection as C
 from ..operators import corpus, neardup, splits
-from . import Registry, table
+from . import Registry, spread, table
 from .core import r2
 
 R = Registry()
@@ -122,7 +122,7 @@ def table_manifest(spark: SparkSession, sf: str) -> DataFrame:
 @R.add(f"SELECT doc_id, len({TOKS})::INTEGER AS n_tokens, md5({NORM}) AS norm_md5 FROM documents")
 def text_normalize_tokens(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return docs(spark, sf, "doc_id", "text").select("doc_id", F.size(X.tokens(text)).alias("n_tokens"), F.md5(X.normalize(text)).alias("norm_md5"))
+    return spread(docs(spark, sf, "doc_id", "text"), "doc_id").select("doc_id", F.size(X.tokens(text)).alias("n_tokens"), F.md5(X.normalize(text)).alias("norm_md5"))
 
 
 @R.add("SELECT doc_id, md5(replace(lower(regexp_replace(source || '-' || lang || '.x', '[ ,./\\-_*^]', '', 'g')), '''', '\"')) AS std FROM documents")
@@ -143,7 +143,7 @@ sg AS (SELECT id, [{SIG}] AS sig FROM k)"""
 
 @R.add(f"WITH {SIGNED} SELECT id, md5(array_to_string(sig, '')) AS sig_md5 FROM sg")
 def minhash_signature(spark: SparkSession, sf: str) -> DataFrame:
-    signed = neardup.signatures(docs(spark, sf, "doc_id", "text"), "doc_id", "text")
+    signed = neardup.signatures(spread(docs(spark, sf, "doc_id", "text"), "doc_id"), "doc_id", "text")
     return signed.select("id", F.md5(F.array_join("sig", "")).alias("sig_md5"))
 
 
@@ -154,7 +154,7 @@ BANDED = f"""{SIGNED}, bd AS (SELECT id, b AS band, array_to_string(sig[b * 4 +
     f"WITH {BANDED}, h AS (SELECT band, key, min(id) AS head FROM bd GROUP BY ALL HAVING count(*) > 1) SELECT DISTINCT id AS src, head AS dst FROM bd JOIN h USING (band, key) WHERE id <> head"
 )
 def lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.star_links(neardup.band_keys(neardup.signatures(docs(spark, sf, "doc_id", "text"), "doc_id", "text")))
+    return neardup.candidate_links(spread(docs(spark, sf, "doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 @R.add(
@@ -165,7 +165,7 @@ w AS (SELECT id AS n, id AS m FROM k UNION SELECT l.b, w.m FROM w JOIN l ON l.a
 SELECT n AS id, min(m) AS family FROM w GROUP BY n"""
 )
 def dup_families(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.families(docs(spark, sf, "doc_id", "text"), "doc_id", "text")
+    return neardup.families(spread(docs(spark, sf, "doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 @R.add(
@@ -177,7 +177,7 @@ SELECT a, b, {r2('similarity', 6)} AS similarity FROM j WHERE similarity >= 0.8
 SELECT id, unnest(list_filter(ids, lambda i: i > id)), 1.0::DOUBLE FROM z"""
 )
 def near_dup_verified(spark: SparkSession, sf: str) -> DataFrame:
-    found = neardup.verified_pairs(docs(spark, sf, "doc_id", "text"), "doc_id", "text")
+    found = neardup.verified_pairs(spread(docs(spark, sf, "doc_id", "text"), "doc_id"), "doc_id", "text")
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -258,7 +258,7 @@ h AS (SELECT item_id, doc_id, count(*) AS hits FROM d JOIN i USING (g) GROUP BY
 SELECT item_id, doc_id, {r2('hits::DOUBLE / size', 4)} AS contained FROM h JOIN z USING (item_id) WHERE hits >= size * 0.8::DOUBLE"""
 )
 def contamination(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.contamination(docs(spark, sf, "doc_id", "text"), table(spark, sf, "benchmark"))
+    return neardup.contamination(spread(docs(spark, sf, "doc_id", "text"), "doc_id"), table(spark, sf, "benchmark"))
 
 
 @R.add(
