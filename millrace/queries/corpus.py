@@ -273,7 +273,7 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 @R.add(
     """WITH d AS (SELECT doc_id AS id, source AS g, lang AS l, lower(split_part(text, ' ', 1)) AS c FROM documents),
 p AS (SELECT a.id, b.id AS negative, row_number() OVER (PARTITION BY a.id ORDER BY (a.c = b.c) DESC, md5('0|' || b.id::VARCHAR), b.id) AS rank FROM d a JOIN d b ON a.g = b.g AND a.l <> b.l WHERE a.id % 10 = 0)
-SELECT id, negative, rank FROM p WHERE rank <= 3"""
+SELECT id, negative, rank::INTEGER AS rank FROM p WHERE rank <= 3"""
 )
 def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     cue = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
@@ -283,7 +283,7 @@ def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
 @R.add(
     """WITH own AS (SELECT conv_id, role AS name, 0 AS extra FROM conversations), names AS (SELECT DISTINCT lang || source AS name FROM documents),
 b AS (SELECT conv_id, name, min(extra) AS extra FROM (SELECT * FROM own UNION ALL SELECT c.conv_id, n.name, 1 FROM (SELECT DISTINCT conv_id FROM conversations) c, names n) GROUP BY ALL)
-SELECT conv_id, name, extra, row_number() OVER (PARTITION BY conv_id ORDER BY extra, name) AS rank FROM b QUALIFY rank <= 5"""
+SELECT conv_id, name, extra, (row_number() OVER (PARTITION BY conv_id ORDER BY extra, name))::INTEGER AS rank FROM b QUALIFY rank <= 5"""
 )
 def capped_pool(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
