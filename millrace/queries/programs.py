@@ -15,7 +15,7 @@ from .core import r2
 
 R = Registry()
 
-CHEAPEST = """; TaskIR v0.1  module=cheapest
+CHEAPEST = """; program v0.1  module=cheapest
 inputs: @rows: List[Any]
 %near = FILTER(@rows, predicate="l_shipdate < '1996-01-01' AND l_quantity > 10")
 %own = EXTRACT(%near, fields=["l_orderkey", "l_linenumber", "l_extendedprice"])  -> List[Any]
@@ -33,7 +33,7 @@ def program_cheapest(spark: SparkSession, sf: str) -> DataFrame:
     return engine.run(program.parse(CHEAPEST), {"@rows": table(spark, sf, "lineitem")}).value
 
 
-BRANCH = """; TaskIR v0.1  module=branch
+BRANCH = """; program v0.1  module=branch
 inputs: @rows: List[Any]
 %sum = SUM(@rows, key="o_totalprice")
 %part = CALCULATE(%sum, expr="v0 / 100")

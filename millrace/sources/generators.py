@@ -31,7 +31,7 @@ def programs(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     text = F.element_at(F.create_map(*[F.lit(x) for kv in ARCHETYPES.items() for x in kv]), F.col("archetype"))
     for name, value in (("domain", F.col("domain")), ("key", F.col("key")), ("n", number)):
         text = F.replace(text, F.lit("{" + name + "}"), value)
-    return rows.select("id", "archetype", F.concat(F.lit("; TaskIR v0.1  module=synthetic\n"), text).alias("text"))
+    return rows.select("id", "archetype", F.concat(F.lit("; program v0.1  module=synthetic\n"), text).alias("text"))
 
 
 def samples(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from millrace.plans.engine import Engine, RunFailure
 from millrace.plans.program import Node, Program
 from millrace.plans.validator import validate
 
-TEXT = """; TaskIR v0.1  module=demo
+TEXT = """; program v0.1  module=demo
 ; task: two\\nlines
 ; provenance.source: unit
 inputs: @rows: List[Map[Str, List[Int]]]
@@ -40,7 +40,7 @@ def test_bad_text(text):
 
 
 def codes(text: str, **more) -> set[str]:
-    return validate(program.parse("; TaskIR v0.1  module=m\n" + text), **more).codes()
+    return validate(program.parse("; program v0.1  module=m\n" + text), **more).codes()
 
 
 @pytest.mark.parametrize(
@@ -84,7 +84,7 @@ def test_types():
 
 
 def run(spark, text, inputs=None, **actions):
-    return Engine(spark, {}, actions).run(program.parse("; TaskIR v0.1  module=m\n" + text), inputs)
+    return Engine(spark, {}, actions).run(program.parse("; program v0.1  module=m\n" + text), inputs)
 
 
 def test_guard_select_and_skip(spark):
