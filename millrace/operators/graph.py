@@ -7,9 +7,9 @@ the shared folder so that the plan does not grow.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,22 +157,32 @@ def contract_nodes(edges: DataFrame, nodes: DataFrame, op: str) -> DataFrame:
     return real.select("program_id", F.coalesce("producer", "src").alias("src"), "dst").distinct()
 
 
-def _per_program(tables: DataFrame, plan: Callable, schema: str) -> DataFrame:
-    """Runs ``plan`` on each program's rows; a program is bounded by what one author wrote."""
-    return tables.groupBy("program_id").applyInPandas(plan, schema)
+def _per_program(nodes: DataFrame, edges: DataFrame, plan: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Runs ``plan`` on each program's nodes (dicts with their incoming edges as ``ins``): one row a program
+    is gathered by Spark, and programs come to Python in batches. A program is bounded by what one author
+    wrote."""
+    ins = edges.groupBy("program_id", F.col("dst").alias("node")).agg(F.collect_list(F.struct("src", "cost")).alias("ins"))
+    whole = nodes.join(ins, ["program_id", "node"], "left").groupBy("program_id").agg(
+        F.collect_list(F.struct(*[c for c in nodes.columns if c != "program_id"], "ins")).alias("nodes")
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(id_, *row) for id_, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in plan(own)]
+            kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+            columns = [pa.array([r[i] for r in rows], kinds[c.split()[1]]) for i, c in enumerate(schema.split(", "))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-def _gather(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ins = edges.groupBy("program_id", F.col("dst").alias("node")).agg(F.collect_list(F.struct("src", "cost")).alias("ins"))
-    return nodes.join(ins, ["program_id", "node"], "left")
+    return whole.select("program_id", "nodes").mapInArrow(run, schema)
 
 
-def _upward(frame: pd.DataFrame) -> tuple[dict, dict, dict]:
+def _upward(nodes: list[dict]) -> tuple[dict, dict, dict]:
     """Weights, predecessors with costs, and each node's longest way to a sink, found from the sinks up."""
-    weight = dict(zip(frame["node"], frame["weight"], strict=True))
-    before = {n: [(i["src"], i["cost"]) for i in ins if i["src"] in weight] if ins is not None else [] for n, ins in zip(frame["node"], frame["ins"], strict=True)}
+    weight = {n["node"]: n["weight"] for n in nodes}
+    before = {n["node"]: [(i["src"], i["cost"]) for i in n["ins"] or () if i["src"] in weight] for n in nodes}
     rank = dict(weight)
-    for _ in weight:
+    for _ in range(len(weight) + 1):
         moved = False
         for node, ins in before.items():
             for src, cost in ins:
@@ -192,11 +202,11 @@ def list_schedule(nodes: DataFrame, edges: DataFrame, pools: dict[str, int] | No
     priority, ties in program order, each on the earliest free worker of its class (pool of 1 by default)."""
     pools = pools or {}
 
-    def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        weight, before, rank = _upward(frame)
-        pos = {n: i for i, n in enumerate(frame["node"])}
-        kind = dict(zip(frame["node"], frame["resource_class"], strict=True))
+    def plan(own: list[dict]) -> list[tuple]:
+        own = sorted(own, key=lambda n: n["pos"])
+        weight, before, rank = _upward(own)
+        pos = {n["node"]: i for i, n in enumerate(own)}
+        kind = {n["node"]: n["resource_class"] for n in own}
         free = {k: [0.0] * pools.get(k, 1) for k in set(kind.values())}
         end: dict[str, float] = {}
         out = []
@@ -207,41 +217,41 @@ def list_schedule(nodes: DataFrame, edges: DataFrame, pools: dict[str, int] | No
             w = workers.index(min(workers))
             start = max([workers[w], *(end[s] for s, _ in before[node])])
             workers[w] = end[node] = start + weight[node]
-            out.append((frame["program_id"].iloc[0], node, f"{kind[node]}:{w}", round(start, 3), round(end[node], 3)))
-        return pd.DataFrame(out, columns=["program_id", "node", "worker", "start_ms", "end_ms"])
+            out.append((node, f"{kind[node]}:{w}", round(start, 3), round(end[node], 3)))
+        return out
 
-    return _per_program(_gather(nodes, edges.withColumn("cost", F.lit(0.0))), plan, SCHEDULE)
+    return _per_program(nodes, edges.withColumn("cost", F.lit(0.0)), plan, SCHEDULE)
 
 
 def heft_schedule(nodes: DataFrame, edges: DataFrame, processors: int = 2) -> DataFrame:
     """Per program: nodes by descending upward rank (ties by name), each on the processor that ends it first;
     edges (program_id, src, dst, cost) delay their targets."""
 
-    def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        weight, before, rank = _upward(frame.sort_values("node"))
+    def plan(own: list[dict]) -> list[tuple]:
+        weight, before, rank = _upward(own)
         free, end, out = [0.0] * processors, {}, []
         for node in sorted(weight, key=lambda n: (-rank[n], n)):
             data = max((end[s] + c for s, c in before[node]), default=0.0)
             p = min(range(processors), key=lambda i: (max(free[i], data), i))
             start = max(free[p], data)
             free[p] = end[node] = start + weight[node]
-            out.append((frame["program_id"].iloc[0], node, f"p{p}", round(start, 3), round(end[node], 3)))
-        return pd.DataFrame(out, columns=["program_id", "node", "worker", "start_ms", "end_ms"])
+            out.append((node, f"p{p}", round(start, 3), round(end[node], 3)))
+        return out
 
-    return _per_program(_gather(nodes, edges), plan, SCHEDULE)
+    return _per_program(nodes, edges, plan, SCHEDULE)
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(program_id, node, place): repeatedly the smallest name among nodes whose predecessors are placed."""
 
-    def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        before = {n: {i["src"] for i in ins} if ins is not None else set() for n, ins in zip(frame["node"], frame["ins"], strict=True)}
-        out: list[str] = []
-        while ready := [n for n in before if n not in out and before[n] <= set(out)]:
-            out.append(min(ready))
-        return pd.DataFrame({"program_id": frame["program_id"].iloc[0], "node": out, "place": range(len(out))})
+    def plan(own: list[dict]) -> list[tuple]:
+        before = {n["node"]: {i["src"] for i in n["ins"] or ()} for n in own}
+        out: dict[str, int] = {}
+        while ready := [n for n in before if n not in out and before[n] <= out.keys()]:
+            out[min(ready)] = len(out)
+        return list(out.items())
 
-    return _per_program(_gather(nodes, edges.withColumn("cost", F.lit(0.0))), plan, "program_id string, node string, place int")
+    return _per_program(nodes, edges.withColumn("cost", F.lit(0.0)), plan, "program_id string, node string, place int")
 
 
 def removable_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
