@@ -16,8 +16,10 @@ window holds one side, and chunks that are still too large are taken in pairs.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -296,14 +298,28 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["r1", "r2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _release(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of plans that nothing refers to once the driver collects its garbage,
+    which may be long after a large step; this asks for it. The first round lets go of Python's references,
+    the second finds what they kept alive."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(r1, r2, n_removed, n_spans, kept_sha256, kept) for the rows that hold a repeat, by ``_row_id``."""
     rows = docs.select(*_row_id(id_col, text_col), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
     schema = f"a long, c long, {ROW}, start int, left_ int, length int"
     every = scratch.save(rows.where(F.length("text") >= SPAN).mapInArrow(_emit_anchors, schema))
-    often = every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # (stored, so that both sides of the join are plain exchanges, which adaptive execution can split at a hot anchor)
+    often = scratch.save(every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     shared = scratch.save(every.join(often, "a", "left_semi"))
     scratch.drop(every)
+    scratch.drop(often)
+    del every, often
+    _release(docs.sparkSession)
 
     contexts = scratch.save(
         shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "start", "left_", "length")).alias("first"))
@@ -311,7 +327,7 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     equal = shared.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select(
         "r1", "r2", F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span")
     )
-    kinds = contexts.groupBy(F.col("a").alias("anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = scratch.save(contexts.groupBy(F.col("a").alias("anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1"))
     mark = contexts.join(kinds, F.col("a") == F.col("anchor")).select(
         "first.r1",
         "first.r2",
@@ -327,6 +343,10 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         rows.join(per_row, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2"))).select("r1", "r2", "text", "spans", "marks")
     )
     scratch.drop(shared)
+    scratch.drop(contexts)
+    scratch.drop(kinds)
+    del shared, contexts, kinds, equal, mark, found, per_row
+    _release(docs.sparkSession)
 
     routed = (
         candidates.where(F.size("marks") > 0)
@@ -347,7 +367,12 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         .where((F.size("spans") > 0) | F.col("more").isNotNull())
         .select("r1", "r2", "text", "spans", "more")
     )
-    return hit.mapInArrow(_remove, f"{ROW}, n_removed long, n_spans long, kept_sha256 string, kept string")
+    gone = scratch.save(hit.mapInArrow(_remove, f"{ROW}, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    scratch.drop(candidates)
+    scratch.drop(more)
+    del candidates, routed, more, hit
+    _release(docs.sparkSession)
+    return gone
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -357,7 +382,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scrat
     SPAN bytes hold no repeat, repeated rows repeat each other; an empty table gives an empty table."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     # repeated rows have one row id and the same result
-    gone = scratch.save(removals(docs, scratch, id_col, text_col)).dropDuplicates(["r1", "r2"])
+    gone = removals(docs, scratch, id_col, text_col).dropDuplicates(["r1", "r2"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     mine = docs.select(
         F.struct("*").alias("record"),
