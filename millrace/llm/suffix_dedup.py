@@ -310,9 +310,10 @@ def _release(spark: SparkSession) -> None:
 
 def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(r1, r2, n_removed, n_spans, kept_sha256, kept) for the rows that hold a repeat, by ``_row_id``."""
-    rows = docs.select(*_row_id(id_col, text_col), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
+    rows = docs.select(*_row_id(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
+    long_rows = rows.where(F.length("text") >= SPAN)
     schema = f"a long, c long, {ROW}, start int, left_ int, length int"
-    every = scratch.save(rows.where(F.length("text") >= SPAN).mapInArrow(_emit_anchors, schema))
+    every = scratch.save(long_rows.mapInArrow(_emit_anchors, schema))
     # (stored, so that both sides of the join are plain exchanges, which adaptive execution can split at a hot anchor)
     often = scratch.save(every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     shared = scratch.save(every.join(often, "a", "left_semi"))
@@ -335,17 +336,22 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     )
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     found = equal.select("r1", "r2", "span", none(mark, "mark")).unionByName(mark.select("r1", "r2", none(equal, "span"), "mark"))
-    # lists within a row are bounded by its own text
-    per_row = found.groupBy(F.col("r1").alias("k1"), F.col("r2").alias("k2")).agg(
-        F.collect_list("span").alias("spans"), F.collect_list("mark").alias("marks")
-    )
-    candidates = scratch.save(
-        rows.join(per_row, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2"))).select("r1", "r2", "text", "spans", "marks")
+    # lists within a row are bounded by its own text; stored, so that nothing else is on disk while texts are shuffled
+    per_row = scratch.save(
+        found.groupBy(F.col("r1").alias("k1"), F.col("r2").alias("k2")).agg(
+            F.collect_list("span").alias("spans"), F.collect_list("mark").alias("marks")
+        )
     )
     scratch.drop(shared)
     scratch.drop(contexts)
     scratch.drop(kinds)
-    del shared, contexts, kinds, equal, mark, found, per_row
+    del shared, contexts, kinds, equal, mark, found
+    _release(docs.sparkSession)
+    candidates = scratch.save(
+        long_rows.join(per_row, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2"))).select("r1", "r2", "text", "spans", "marks")
+    )
+    scratch.drop(per_row)
+    del per_row
     _release(docs.sparkSession)
 
     routed = (
