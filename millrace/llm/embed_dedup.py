@@ -1,10 +1,12 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by random median splits.
 
-A pass gives every vector 64 random sign bits and orders the vectors by them, read as one word from the
-first bit down; each vector is compared with the next ``WINDOW`` of that order and verified by its cosine.
-Passes use fresh bits, and their number follows from the table's size and the recall asked for. Verified
-links are united across passes. A window bounds the partners that it can find, so links are counted
-afterwards by comparing all vectors within each component, in tiles: exact however large a group is.
+A pass cuts the vectors by random projections, each at the median of the vectors that it cuts, until at most
+``WINDOW`` stay together; these are all compared. Cuts at local medians halve a cone as they halve isotropic
+data. A cut that passes a vector at margin m parts it from a partner at the threshold with a known
+probability (the partner's projection differs by a normal law), so every vector knows how surely its
+passes would have met a partner. Vectors below the recall asked for get further passes, against all vectors,
+until few are left; these are compared with all. Verified links are united across passes. Links are
+counted afterwards by comparing all vectors within each component, in tiles: exact however large a group is.
 """
 
 from __future__ import annotations
@@ -16,22 +18,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, components, grouped, join_sets, read_table
 from .topk import one_per_id, usable
 
 COSINE = 0.95
-WINDOW = 64
+WINDOW = 2048
 RECALL = 0.995
-BLOCK = 4096
+#: Rows of a matrix product.
+BLOCK = 512
 TILE = 2048
 SEED = 17
+#: Vectors that one task cuts further; cuts above follow from a sample of so many values.
+LEAF = 8192
+SAMPLE_VALUES = 1 << 21
+#: So many values of vectors that still lack recall are compared with all vectors.
+REST_VALUES = 1 << 18
+MOST_PASSES = 16
 
 
 def passes_needed(n: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Vectors that share the first log2(n / window) bits stand within a window on average; a pair at the
-    threshold shares a bit with probability 1 - angle / pi."""
+    """Passes of the first round, as isotropic data need them: log2(n / window) cuts, each of which a pair at the
+    threshold survives with probability 1 - angle / pi. Later rounds follow from the margins measured."""
     bits = max(1.0, math.log2(max(2, n) / window) + 1)
     both = (1 - math.acos(cosine) / math.pi) ** bits
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - both))) if both < 1 else 2
@@ -46,56 +54,177 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codes(n_passes: int):
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+def _plane(number: int, d: int, level: int) -> np.ndarray:
+    return np.random.default_rng([SEED, number, d, level]).standard_normal(d)
+
+
+def _together(margin: np.ndarray, cosine: float) -> np.ndarray:
+    """Probability that a partner at the threshold lies on the same side of a cut (normal law; Abramowitz and
+    Stegun 7.1.26)."""
+    z = np.abs(margin) / math.sqrt(4 * (1 - cosine))  # the difference has variance 2 (1 - cosine)
+    t = 1 / (1 + 0.3275911 * z)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return 1 - poly * np.exp(-z * z) / 2
+
+
+def _tree(sample: np.ndarray, n: int, number: int) -> dict[int, float]:
+    """Node (the root is 1, the children of i are 2i and 2i + 1) -> where it is cut, down to about LEAF of n vectors."""
+    cuts: dict[int, float] = {}
+    todo = [(1, sample)]
+    while todo:
+        node, own = todo.pop()
+        if len(own) < 32 or len(own) * n <= LEAF * len(sample):
+            continue
+        at = own @ _plane(number, sample.shape[1], node.bit_length() - 1)
+        high = at > np.median(at)
+        if high.any():
+            cuts[node] = float(np.median(at))
+            todo += [(2 * node, own[~high]), (2 * node + 1, own[high])]
+    return cuts
+
+
+def _route(numbers: list[int], trees: dict[tuple[int, int], dict[int, float]], cosine: float):
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (length, cid, x, open) -> each once a pass, with its leaf and its chance to be there with a partner."""
         for batch in batches:
             lengths = batch.column(0).to_numpy()
             for d in np.unique(lengths).tolist():
                 own = pa.Table.from_batches([batch.filter(pa.array(lengths == d))])
-                x = _matrix(own.column("x"), own.num_rows)
-                if d not in planes:
-                    planes[d] = np.random.default_rng([SEED, d]).standard_normal((d, n_passes * 64))
-                bits = (x @ planes[d] > 0).reshape(len(x), n_passes, 64)
-                words = np.packbits(bits, axis=2).view(">u8")[:, :, 0].astype(np.uint64) ^ np.uint64(1 << 63)
-                for p in range(n_passes):
+                x = _unit(_matrix(own.column("x"), own.num_rows))
+                for number in numbers:
+                    cuts = trees.get((number, d), {})
+                    leaf, alive = np.ones(len(x), np.int64), np.ones(len(x))
+                    todo = [(1, np.arange(len(x)))]
+                    while todo:
+                        node, rows = todo.pop()
+                        leaf[rows] = node
+                        if node in cuts and len(rows):
+                            margin = x[rows] @ _plane(number, d, node.bit_length() - 1) - cuts[node]
+                            alive[rows] *= _together(margin, cosine)
+                            todo += [(2 * node, rows[margin <= 0]), (2 * node + 1, rows[margin > 0])]
                     yield from pa.table(
                         {
-                            "pass": pa.array(np.full(len(x), p, np.int32)),
+                            "pass": pa.array(np.full(len(x), number, np.int32)),
                             "length": own.column("length"),
-                            "code": pa.array(words[:, p].view(np.int64)),
+                            "leaf": pa.array(leaf),
                             "cid": own.column("cid"),
                             "x": own.column("x"),
+                            "open": own.column("open"),
+                            "alive": pa.array(alive),
                         }
                     ).to_batches()
 
-    return code
+    return route
+
+
+def _unite(x: np.ndarray, rows: np.ndarray, cosine: float) -> np.ndarray:
+    """A label for each of ``x``, equal where links of ``rows`` join them."""
+    labels = np.arange(len(x))
+    for i in range(0, len(rows), BLOCK):
+        own = rows[i : i + BLOCK]
+        r, c = np.nonzero(x[own] @ x.T >= cosine)
+        join_sets(labels, own[r], c)
+    return labels
+
+
+def _cell_links(window: int, cosine: float):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (pass, length, leaf, cid, x, open, alive), sorted -> (src, dst, miss): what the pass joins, and the
+        logarithm of the chance that it misses a partner of src (null where src was not open)."""
+        for group in grouped(batches, 3):
+            n = group.num_rows
+            x, cid = _unit(_matrix(group.column("x"), n)), group.column("cid").to_numpy()
+            open_ = group.column("open").to_numpy(zero_copy_only=False).astype(bool)
+            alive = group.column("alive").to_numpy().copy()
+            number, d, node = (int(group.column(k)[0].as_py()) for k in ("pass", "length", "leaf"))
+            labels = np.arange(n)
+            todo = [(node.bit_length() - 1, np.arange(n))]
+            while todo:
+                level, rows = todo.pop()
+                if not open_[rows].any():
+                    continue
+                if len(rows) <= window:
+                    labels[rows] = rows[_unite(x[rows], np.flatnonzero(open_[rows]), cosine)]
+                    continue
+                at = x[rows] @ _plane(number, d, level)
+                order, half = np.argsort(at, kind="stable"), len(rows) // 2
+                cut = (at[order[half - 1]] + at[order[half]]) / 2
+                alive[rows] *= _together(at - cut, cosine)
+                todo += [(level + 1, np.sort(rows[order[:half]])), (level + 1, np.sort(rows[order[half:]]))]
+            told = np.flatnonzero(open_ | (labels != np.arange(n)))
+            if len(told):
+                miss = np.log(np.maximum(1 - alive[told], 1e-9))
+                columns = [pa.array(cid[told]), pa.array(cid[labels[told]]), pa.array(miss, mask=~open_[told])]
+                yield pa.RecordBatch.from_arrays(columns, ["src", "dst", "miss"])
+
+    return find
 
 
-def _window_links(window: int, cosine: float):
+def _rest_links(rest: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, place, pass, length, cid, x) in order of block and place."""
-        for group in grouped(batches, 1):
-            which = np.stack([group.column(c).to_numpy().astype(np.int64) for c in ("pass", "length")])
-            cuts = np.flatnonzero((which[:, 1:] != which[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist(), group.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                own = group.slice(a, b - a)
-                x, cid = _unit(_matrix(own.column("x"), b - a)), own.column("cid").to_numpy()
-                labels = np.arange(b - a)
-                for i in range(0, b - a, window):
-                    rows = x[i : i + window]
-                    near = rows @ x[i : i + 2 * window].T >= cosine
-                    r, c = np.nonzero(near)
-                    ahead = (c > r) & (c - r <= window)
-                    join_sets(labels, r[ahead] + i, c[ahead] + i)
-                moved = np.flatnonzero(labels != np.arange(b - a))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(cid[moved]), pa.array(cid[labels[moved]])], ["src", "dst"])
+        """Rows (length, cid, x) -> (src, dst): links with the vectors of ``rest``, which are compared with all."""
+        for batch in batches:
+            lengths = batch.column(0).to_numpy()
+            for d in set(np.unique(lengths).tolist()) & set(rest):
+                own = pa.Table.from_batches([batch.filter(pa.array(lengths == d))])
+                ids, y = rest[d]
+                x = np.concatenate([y, _unit(_matrix(own.column("x"), own.num_rows))])
+                cid = np.concatenate([ids, own.column("cid").to_numpy()])
+                labels = _unite(x, np.arange(len(y)), cosine)
+                moved = np.flatnonzero(labels != np.arange(len(x)))
+                yield pa.RecordBatch.from_arrays([pa.array(cid[moved]), pa.array(cid[labels[moved]])], ["src", "dst"])
 
     return find
 
 
+def _by_length(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> ids and unit vectors, on the driver: of the sample, or of the few that are left."""
+    found: dict[int, list] = {}
+    for r in rows.select("length", "cid", "x").collect():
+        found.setdefault(r.length, []).append((r.cid, r.x))
+    return {d: (np.array([c for c, _ in own], np.int64), _unit(np.array([x for _, x in own], float))) for d, own in found.items()}
+
+
+def _links(classes: DataFrame, scratch: Scratch, cosine: float, window: int, recall: float) -> DataFrame:
+    """(src, dst) over ``classes`` (length, cid, x)."""
+    counts = {r.length: r["count"] for r in classes.groupBy("length").count().collect()}
+    if not counts:
+        return classes.select(F.col("cid").alias("src"), F.col("cid").alias("dst"))
+    most = max(counts)
+    sample = {}
+    if max(counts.values()) > LEAF:
+        sample = _by_length(classes.orderBy(F.xxhash64("cid", F.lit(SEED)), "cid").limit(max(1024, SAMPLE_VALUES // most)))
+    kind = classes.schema["x"].dataType.simpleString()
+    keys = ["pass", "length", "leaf"]
+    marked = classes.withColumn("open", F.lit(True))
+    done, take, found = 0, passes_needed(max(counts.values()), cosine, window, recall), []
+    while True:
+        numbers = list(range(done, done + take))
+        trees = {(p, d): _tree(x, counts[d], p) for p in numbers for d, (_, x) in sample.items()}
+        routed = marked.mapInArrow(
+            _route(numbers, trees, cosine), f"pass int, length int, leaf long, cid long, x {kind}, open boolean, alive double"
+        )
+        cells = routed.repartition(*keys).sortWithinPartitions(*keys, "cid")
+        found.append(scratch.save(cells.mapInArrow(_cell_links(window, cosine), "src long, dst long, miss double")))
+        done += take
+        told = found[0]
+        for more in found[1:]:
+            told = told.unionAll(more)
+        missed = told.where("miss IS NOT NULL").groupBy(F.col("src").alias("cid")).agg(F.sum("miss").alias("miss"))
+        wanted = math.log(1 - recall)
+        lack = missed.where(F.col("miss") > wanted)
+        left, further = lack.agg(F.count("*"), F.percentile_approx((wanted / F.col("miss") - 1) * done, 0.9)).first()
+        links = told.select("src", "dst").where("src <> dst").distinct()
+        if not left:
+            return links
+        marked = classes.join(lack.select("cid", F.lit(True).alias("open")), "cid", "left")
+        marked = marked.select("length", "cid", "x", F.coalesce("open", F.lit(False)).alias("open"))
+        if left * most <= max(REST_VALUES, most):
+            rest = _by_length(marked.where("open"))
+            return links.unionAll(classes.mapInArrow(_rest_links(rest, cosine), "src long, dst long")).distinct()
+        take = min(MOST_PASSES, max(2, math.ceil(further)))
+
+
 def _count_links(cosine: float):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (component, i, j, part, cid, copies, x), sorted: how many vectors each one links with in its tile."""
@@ -135,31 +264,8 @@ def near_duplicates(
     classes = scratch.save(
         vectors.groupBy(F.col("vector").alias("x")).agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"))
     )
-    n_passes = passes_needed(classes.count(), cosine, window, recall)
-
-    coded = classes.select(F.size("x").alias("length"), "cid", "x").mapInArrow(
-        _codes(n_passes), f"pass int, length int, code long, cid long, x {classes.schema['x'].dataType.simpleString()}"
-    )
-    order = ["pass", "length", "code", "cid"]
-    placed = scratch.save(
-        coded.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    )
-    # ``at`` holds the range partition and the place in it: gapless places need the sizes of the partitions before
-    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("part")).count()
-    ends = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    starts = sizes.select("part", (ends - F.col("count")).alias("start"))  # one row a partition of the sort
-    ranked = placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("place", F.col("start") + within)
-    block = F.expr(f"place div {BLOCK}")
-    both = F.when((F.col("place") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    windows = ranked.select(F.explode(both).alias("block"), "place", "pass", "length", "cid", "x")
-    links = scratch.save(
-        windows.repartition("block")
-        .sortWithinPartitions("block", "place")
-        .mapInArrow(_window_links(window, cosine), "src long, dst long")
-        .distinct()
-    )
-    scratch.drop(placed)
+    coded = classes.select(F.size("x").alias("length"), "cid", "x")
+    links = scratch.save(_links(coded, scratch, cosine, window, recall))
 
     member = scratch.save(components(links, scratch))
     parts = member.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("long").alias("parts"))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import embed_dedup, queries, topk
@@ -98,6 +100,23 @@ def test_recall_on_the_tables(spark):
     assert total <= near.sum() and total >= 0.9 * near.sum()
 
 
+@pytest.mark.parametrize(("n", "cone", "share"), [(8000, 0.8, 1.0), (20_000, 0.8, 0.34), (20_000, 0.0, 0.0)])
+def test_isolated_pairs_are_found_in_cones(spark, tmp_path, n, cone, share):
+    """A share of the vectors lies around one axis (``cone`` is their mean cosine); each planted pair is at 0.952."""
+    rng = np.random.default_rng(n)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = unit(rng.normal(size=(n, 64)))
+    m = int(n * share)
+    x[:m] = unit(np.sqrt(cone) * np.eye(64)[0] + np.sqrt(1 - cone) * x[:m])
+    at = rng.choice(m or n, 500, replace=False)
+    off = rng.normal(size=(500, 64))
+    off = unit(off - (off * x[at]).sum(axis=1, keepdims=True) * x[at])
+    x = np.concatenate([x, 0.952 * x[at] + np.sqrt(1 - 0.952**2) * off])
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "e.parquet")
+    got = {r.vec_id: r.component_id for r in embed_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "e.parquet"))).collect()}
+    assert np.mean([got[n + i] == got[int(a)] for i, a in enumerate(at)]) >= 0.99
+
+
 def test_passes_grow_with_the_table():
     few, many = embed_dedup.passes_needed(10_000), embed_dedup.passes_needed(1_000_000_000)
     assert 2 <= few < many < 500
