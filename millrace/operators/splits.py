@@ -77,17 +77,36 @@ def stratified_sample(df: DataFrame, id_col: str, strata: list[str], n: int, see
     return placed.orderBy("_over", "_order", id_col).limit(n).drop("_quota", "_order", "_over")
 
 
+def _first_of(own: DataFrame, by: list[str], k: int, seed: int) -> DataFrame:
+    """(by, negative, nl, nc, ng): for each ``by`` the rows that hold the first k by hash whatever one label is left
+    out: k rows a label, of the k + 1 labels that come first. At most k (k + 1) rows."""
+    order = [hash_order("id", seed), F.col("id")]
+    row = F.row_number().over(Window.partitionBy(*by, "l").orderBy(*order))
+    label = F.dense_rank().over(Window.partitionBy(*by).orderBy("_first", "l"))
+    heads = own.withColumn("_r", row).where(F.col("_r") <= k)
+    heads = heads.withColumn("_first", F.min(F.struct(hash_order("id", seed).alias("h"), "id")).over(Window.partitionBy(*by, "l")))
+    few = heads.withColumn("_l", label).where(F.col("_l") <= k + 1)
+    return few.select(*by, F.col("id").alias("negative"), F.col("l").alias("nl"), F.col("c").alias("nc"), F.col("g").alias("ng"))
+
+
 def hard_negatives(df: DataFrame, id_col: str, group: str, label: str, cue: Column, k: int, seed: int = 0, anchors: str = "true") -> DataFrame:
-    """(id, negative, rank): for each anchor the k rows of its group with another label, those with the same
-    cue first, then by hash. A group's candidates are cut to the first k of each (label, cue) before the
-    join, which no answer goes beyond, so a large group is not paired with itself."""
-    own = df.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(label).alias("l"), cue.alias("c"))
-    order = hash_order("id", seed)
-    first = F.row_number().over(Window.partitionBy("g", "l", "c").orderBy(order, "id"))
-    pool = own.withColumn("_r", first).where(F.col("_r") <= k).select(F.col("id").alias("negative"), "g", F.col("l").alias("nl"), F.col("c").alias("nc"))
-    pairs = own.where(anchors).join(pool, "g").where("l <> nl")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.col("c") == F.col("nc")), hash_order("negative", seed), "negative"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "negative", "rank")
+    """(id, negative, rank): for each anchor k rows with another label, those of its group and cue first, then
+    those of its group, then any others (the backfill), each by hash. Rows without a label take no part. The answer
+    depends on an anchor's group, label and cue alone, so it is found once for each of these from short lists: the
+    first k of the group and cue, and the first 2k of the group and of the table, as fewer than k of the
+    better kinds can be among them."""
+    own = df.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(label).alias("l"), cue.alias("c")).where("l IS NOT NULL")
+    kinds = own.where(anchors).select("g", "l", "c").distinct()
+    near = kinds.join(_first_of(own.where("g IS NOT NULL AND c IS NOT NULL"), ["g", "c"], k, seed), ["g", "c"])
+    same = kinds.join(_first_of(own.where("g IS NOT NULL"), ["g"], 2 * k, seed), ["g"])
+    extra = kinds.join(F.broadcast(_first_of(own.withColumn("_all", F.lit(0)), ["_all"], 2 * k, seed).drop("_all")))  # at most 2k (2k + 1) rows
+    columns = ["g", "l", "c", "negative", "nl", "nc", "ng"]
+    pairs = near.select(*columns).unionAll(same.select(*columns)).unionAll(extra.select(*columns)).where("l <> nl").distinct()
+    tier = F.when(F.col("g") == F.col("ng"), F.when(F.col("c") == F.col("nc"), 0).otherwise(1)).otherwise(2)
+    rank = F.row_number().over(Window.partitionBy("g", "l", "c").orderBy(tier, hash_order("negative", seed), "negative"))
+    best = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.struct("g", "l", "c").alias("kind"), "negative", "rank")
+    asked = own.where(anchors).select("id", F.struct("g", "l", "c").alias("own_kind"))
+    return asked.join(best, F.col("own_kind").eqNullSafe(F.col("kind"))).select("id", "negative", "rank")
 
 
 def capped_pool(own: DataFrame, others: DataFrame, by: str, name: str, cap: int) -> DataFrame:

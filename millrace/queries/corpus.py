@@ -277,7 +277,7 @@ SELECT id, negative, rank::INTEGER AS rank FROM p WHERE rank <= 3"""
 )
 def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     cue = F.lower(F.split_part("text", F.lit(" "), F.lit(1)))
-    return splits.hard_negatives(docs(spark, sf, "doc_id", "source", "lang", "text"), "doc_id", "source", "lang", cue, 3, anchors="id % 10 = 0")
+    return splits.hard_negatives(docs(spark, sf, "doc_id", "source", "lang", "text"), "doc_id", "source", "lang", cue, 3)
 
 
 @R.add(
