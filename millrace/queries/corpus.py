@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import collection as C
 from ..operators import corpus, neardup, splits
 from . import Registry, spread, table
 from .core import r2
@@ -308,5 +307,4 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("SELECT doc_id, left(lang || source, 3) AS head FROM documents WHERE doc_id % 100 = 3")
 def truncated_keys(spark: SparkSession, sf: str) -> DataFrame:
-    some = C.filter_rows(docs(spark, sf, "doc_id", "lang", "source"), "doc_id % 100 = 3")
-    return some.select("doc_id", F.left(F.concat("lang", "source"), F.lit(3)).alias("head"))
+    return docs(spark, sf, "doc_id", "lang", "source").select("doc_id", F.left(F.concat("lang", "source"), F.lit(3)).alias("head"))

@@ -36,3 +36,9 @@ def test_hard_negatives_fill_up_from_other_groups(spark, labels):
     df = spark.createDataFrame(rows, "id long, g string, l string, c string")
     got = [(r.id, r.negative, r.rank) for r in splits.hard_negatives(df, "id", "g", "l", F.col("c"), 3).collect()]
     assert len(got) == len(set(got)) and set(got) == negatives(rows, 3)
+
+
+def test_truncated_keys_of_every_document(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = [(r.doc_id, r["head"]) for r in catalog.QUERIES["truncated_keys"](spark, sf).collect()]
+    assert sorted(got) == sorted((r.doc_id, (r.lang + r.source)[:3]) for r in rows)
