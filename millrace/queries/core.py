@@ -164,8 +164,7 @@ def field_path_json(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT o_custkey, [o_orderkey, o_orderkey + 1] AS pair, o_orderkey AS first_key FROM orders WHERE o_orderkey % 7 = 0"
 )
 def make_list_path(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "orders").where("o_orderkey % 7 = 0")
-    nested = own.select("o_custkey", F.struct(C.make_list(F.col("o_orderkey"), F.col("o_orderkey") + 1).alias("keys")).alias("v"))
+    nested = table(spark, sf, "orders").select("o_custkey", F.struct(C.make_list(F.col("o_orderkey"), F.col("o_orderkey") + 1).alias("keys")).alias("v"))
     return nested.select("o_custkey", F.col("v.keys").alias("pair"), paths.extract(F.col("v"), "keys[0]").alias("first_key"))
 
 

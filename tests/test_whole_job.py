@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace import catalog
 from millrace.operators import splits
 
+from .compare import connect, plain
+
 
 def negatives(rows, k):
     """{(id, negative, rank)} by brute force over (id, group, label, cue)."""
@@ -42,3 +44,17 @@ def test_truncated_keys_of_every_document(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = [(r.doc_id, r["head"]) for r in catalog.QUERIES["truncated_keys"](spark, sf).collect()]
     assert sorted(got) == sorted((r.doc_id, (r.lang + r.source)[:3]) for r in rows)
+
+
+def test_make_list_path_of_every_order(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").collect()
+    got = [(r.o_custkey, r.pair, r.first_key) for r in catalog.QUERIES["make_list_path"](spark, sf).collect()]
+    assert sorted(got) == sorted((r.o_custkey, [r.o_orderkey, r.o_orderkey + 1], r.o_orderkey) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["hard_negatives", "make_list_path", "truncated_keys"])
+def test_rows_of_the_filtered_sql_are_among_them(spark, sf, name):
+    asked = connect(sf).execute(catalog.ORACLE_SQL[name])
+    columns = [d[0] for d in asked.description]
+    got = {tuple(plain(r[c]) for c in columns) for r in catalog.QUERIES[name](spark, sf).collect()}
+    assert {tuple(plain(v) for v in r) for r in asked.fetchall()} <= got
