@@ -1,4 +1,8 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with license templates.
+"""License scans: an exact set-similarity join of text blocks with license templates.
+
+Blocks are the lines of a text and, as notices are wrapped, windows of words that run over line ends. Windows
+are twice as long as the longest template and start every such length, so a template's length of
+consecutive words lies in one of them, whatever the line ends in it.
 
 Tokens are ordered by their frequency over all blocks of the corpus, rarest first. A block can hold
 ``THRESHOLD`` of a template's tokens only if it holds one of the template's first
@@ -55,10 +59,32 @@ def normalized(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
 
 
+def reach(templates: tuple[tuple[str, str], ...]) -> int:
+    """Words of the longest template."""
+    return max((len(normalized(notice).split()) for _, notice in templates), default=0) or 1
+
+
+def blocks(lines: list[list[bytes]], reach: int) -> Iterator[list[bytes]]:
+    """The lines, and the windows that no single line holds."""
+    yield from lines
+    words = [w for line in lines for w in line]
+    ends, n = [], 0  # ends of lines, as numbers of the words that follow
+    for line in lines:
+        if line:
+            ends.append(n := n + len(line))
+    last = -1
+    for end in ends[:-1]:
+        for i in (end // reach - 1, end // reach):  # windows i * reach to (i + 2) * reach that hold words of both sides
+            if i > last and i * reach < end:
+                last = i
+                yield words[i * reach : (i + 2) * reach]
+
+
 class Join:
     """Templates against blocks, given how many blocks hold each template token."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], threshold: Fraction = THRESHOLD) -> None:
+        self.reach = reach(templates)
         sets = [(label, set(normalized(notice).split())) for label, notice in templates]
         tokens = sorted(set().union(*(t for _, t in sets)), key=lambda t: (frequency.get(t, 0), t))
         self.rank = {t: i for i, t in enumerate(tokens)}
@@ -107,11 +133,10 @@ def base_places(words: list[bytes]) -> dict[str, list[int]]:
 def scan_text(text: str | None, join: Join) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of a whole text."""
     norm = normalized(text)
-    words, labels, score = [], set(), 0.0
-    for block in norm.split(b"\n"):
-        own = block.split()
-        words += own
-        for label, share in join.matches(set(own)):
+    lines = [line.split() for line in norm.split(b"\n")]
+    words, labels, score = [w for line in lines for w in line], set(), 0.0
+    for block in blocks(lines, join.reach):
+        for label, share in join.matches(set(block)):
             labels.add(label)
             score = max(score, share)
     base = base_places(words)
@@ -132,13 +157,15 @@ def scan_text(text: str | None, join: Join) -> tuple[int, int, int | None, int |
 def token_frequency(docs: DataFrame, text_col: str, templates: tuple[tuple[str, str], ...]) -> dict[bytes, int]:
     """Blocks that hold a template token, over all documents. One row a template token reaches the driver."""
     vocabulary = frozenset(t for _, notice in templates for t in normalized(notice).split())
+    most = reach(templates)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                for block in normalized(text.as_py()).split(b"\n"):
-                    seen.update(vocabulary.intersection(block.split()))
+                lines = [line.split() for line in normalized(text.as_py()).split(b"\n")]
+                for block in blocks(lines, most):
+                    seen.update(vocabulary.intersection(block))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "token binary, n long")

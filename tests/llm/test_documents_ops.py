@@ -147,6 +147,42 @@ def test_license_filters_lose_nothing():
         assert dict(join.matches(block)) == wanted
 
 
+@pytest.mark.parametrize("prefix", range(0, 70, 3))
+@pytest.mark.parametrize("width", [3, 5, 7, 11])
+def test_wrapped_notices_are_found(prefix, width):
+    """Every template behind ``prefix`` words, its own words wrapped after every ``width``."""
+    join = license_scan.Join(license_scan.TEMPLATES, {})
+    for label, notice in license_scan.TEMPLATES:
+        words = notice.split()
+        wrapped = "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+        text = " ".join(["river"] * prefix) + "\n" + wrapped + "\n\n" + "house " * 90
+        found = license_scan.scan_text(text, join)
+        assert label in found[5].split(",") and found[6] == 1.0
+
+
+def test_wrapped_notices_equal_all_blocks(spark):
+    """Labels by brute force: all lines, and all windows of words at the operator's places."""
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(150):
+        words = [w for _ in range(4) for w in rng.choice(license_scan.TEMPLATES)[1].split() + ["river"] * rng.randrange(30) if rng.random() < 0.95]
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n\n"]) for w in words))
+    step = max(len(notice.split()) for _, notice in license_scan.TEMPLATES)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan(df, keep=("doc_id",)).collect():
+        text = texts[r.record.doc_id]
+        words = text.split()
+        tried = [line.split() for line in text.split("\n")] + [words[i : i + 2 * step] for i in range(0, len(words), step) if len(text.split("\n")) > 1]
+        wanted = {p for p, w in license_scan.BASE_PHRASES.items() if f" {w} " in f" {' '.join(words)} "}
+        for label, notice in license_scan.TEMPLATES:
+            own = set(notice.split())
+            if any(5 * len(own & set(b)) >= 4 * len(own) for b in tried):
+                wanted.add(label)
+        assert r.labels == ",".join(sorted(wanted))
+
+
 def covered(texts):
     seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     for t in texts:
