@@ -58,3 +58,10 @@ def test_rows_of_the_filtered_sql_are_among_them(spark, sf, name):
     columns = [d[0] for d in asked.description]
     got = {tuple(plain(r[c]) for c in columns) for r in catalog.QUERIES[name](spark, sf).collect()}
     assert {tuple(plain(v) for v in r) for r in asked.fetchall()} <= got
+
+
+def test_every_part_is_known_state(spark, sf):
+    parts = {str(r.p_partkey) for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    got = [(r.value, r.origin) for r in catalog.QUERIES["value_provenance"](spark, sf).collect()]
+    assert {o for v, o in got if v in parts} >= {"ENV_STATE"} and not [v for v, o in got if v in parts and o == "UNKNOWN"]
+    assert not [v for v, o in got if v not in parts and o == "ENV_STATE"]
