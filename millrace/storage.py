@@ -4,40 +4,70 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, local mode gets a temporary one; a
+    cluster has no folder that all executors are known to share, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside drops its shuffle files when it ends: its result is stored, nothing reads them again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Parquet tables that cut lineage: every executor can read them back, so a lost executor costs no
-    recomputation. Tables that a returned DataFrame still reads stay, as checkpoint files do; ``drop``
-    removes one that nothing reads any more."""
+    recomputation. ``drop`` removes one that nothing reads any more; those that a returned DataFrame still
+    reads go when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
+    def _file_system(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count:03d}"
-        df.write.option("compression", "zstd").parquet(path)
+        with _shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        if self.count == 1:
+            base, files = self._file_system(self.base)
+            files.deleteOnExit(base)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path, files = self._file_system(df._scratch_path)
+            files.delete(path, True)
