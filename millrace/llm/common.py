@@ -1,87 +1,21 @@
-"""Pieces that the training-data operators share: scratch tables in the cluster's shared folder, Arrow
-mapping helpers and distributed connected components."""
+"""Pieces that the training-data operators share, beside the engine's scratch tables and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables that cut lineage: every executor can read them back, so a lost executor costs no
-    recomputation. Tables that a returned DataFrame still reads stay, as checkpoint files do; ``drop``
-    removes one that nothing reads any more."""
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+from ..operators.components import components
+from ..storage import Scratch
 
-    def save(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count:03d}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "components", "grouped", "join_sets", "read_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``edges`` (src, dst) -> one row (node, component) per node that has an edge; component is the
-    smallest node reachable. Alternating large-star and small-star rounds: every round replaces the edge
-    set by one that keeps connectivity and shortens paths, until all edges point at the smallest node.
-    Rounds grow with the logarithm of the longest path. Minima are aggregated map-side, joins back to a
-    hub are left to adaptive skew splitting, and nothing reaches the driver but two numbers a round."""
-    pairs = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
-    now = scratch.save(pairs.where("hi <> lo").distinct())
-    mark = _digest(now)
-    while mark[0]:
-        sym = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
-            now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        )
-        low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        after = scratch.save(small.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct())
-        scratch.drop(now)
-        now, before, mark = after, mark, _digest(after)
-        if mark == before:
-            break
-    own = now.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(own)
-
-
-def _digest(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-    return row.n, row.x
-
-
 def grouped(batches, n_keys: int):
     """Arrow batches sorted by their first ``n_keys`` columns -> one table per run of equal keys."""
     held, key = [], None
