@@ -9,6 +9,9 @@ can still rise, so the rows that might reach the top are known, and only these a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from operator import mul
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +21,9 @@ from pyspark.sql.window import Window
 from .common import Scratch, read_table
 
 SCALE = 256
-#: Components beyond it would not fit exact 64-bit sums; such vectors take no part.
-LARGEST = float(1 << 20)
+#: Numbers up to it go through the bit slices: even 2^20 products of two of them fit 63 bits. Larger ones are scored
+#: in whole numbers of any size.
+NARROW = 1 << 21
 #: Upper bits kept as slices.
 SLICES = 6
 BLOCK = 8192
@@ -112,33 +116,67 @@ def _add_up(columns: dict[int, list[np.ndarray]], words: int) -> list[np.ndarray
     return out
 
 
-def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best rows of the block, its own left out; ties to smaller ids."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    index = BitSliced(x)
+def best(block: Block, queries: Block, k: int) -> list[tuple]:
+    """(query row, row, score) of the k best rows of ``block`` for each of ``queries``, its own included."""
+    small = block.narrow()
+    narrow, wide = np.flatnonzero(small), np.flatnonzero(~small)
+    index = BitSliced(block.x[narrow].astype(np.int64))
+    far = [[int(v) for v in x] for x in block.x[wide]]
     out = []
-    for own, q in zip(query_ids, queries, strict=True):
-        rows = index.candidates(q, k + 1)  # one more, as the query's own row may be among them
-        rows = rows[ids[rows] != own]
-        scores = x[rows] @ q
-        top = np.argsort(-scores, kind="stable")[:k]
-        out.append((np.full(len(top), own), ids[rows[top]], scores[top]))
-    if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
-
-
-def usable(vector: Column, most: float = float("inf")) -> Column:
+    for row, q, fits in zip(queries.row.tolist(), queries.x, queries.narrow().tolist(), strict=True):
+        if fits:
+            own = q.astype(np.int64)
+            at = index.candidates(own, k)
+            rows, score = narrow[at], index.x[at] @ own
+        else:
+            rows, score = narrow, _exact(index.x.tolist(), q)
+        if len(wide):
+            rows, score = np.concatenate([rows, wide]), np.concatenate([score.astype(object), _exact(far, q)])
+        order = sorted(range(len(rows)), key=lambda i: (-score[i], not block.named[rows[i]], block.ids[rows[i]])) if score.dtype == object else np.lexsort((block.ids[rows], ~block.named[rows], -score))
+        top = order[:k]
+        out += [(row, int(r), int(s)) for r, s in zip(block.row[rows[top]], score[top], strict=True)]
+    return out
+
+
+def _exact(rows: list[list[int]], q: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers of any size."""
+    own = [int(v) for v in q]
+    out = np.empty(len(rows), dtype=object)
+    out[:] = [sum(map(mul, own, x)) for x in rows]
+    return out
+
+
+@dataclass
+class Block:
+    """Vectors of one length: ``row`` numbers them, ``ids`` are their ids where they are ``named``."""
+
+    row: np.ndarray
+    ids: np.ndarray
+    named: np.ndarray
+    x: np.ndarray  # whole numbers, as doubles
+
+    @staticmethod
+    def of(table: pa.Table) -> Block:
+        ids = table.column("vec_id")
+        named = ids.is_valid().to_numpy().astype(bool)
+        flat = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return Block(table.column("row").to_numpy(), ids.fill_null(0).to_numpy(), named, flat.reshape(len(named), -1))
+
+    def narrow(self) -> np.ndarray:
+        """Rows whose products with each other are sure to fit 63 bits in all."""
+        n, d = self.x.shape
+        return np.abs(self.x).max(axis=1, initial=0) <= NARROW if d else np.ones(n, bool)
+
+
+def usable(vector: Column) -> Column:
     """True for vectors that are not null and hold finite components alone."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))) & (F.abs(x.cast("double")) <= F.lit(most)))
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return F.coalesce(vector.isNotNull() & fine, F.lit(False))
 
 
-def one_per_id(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector): of rows that repeat an id the smallest vector; rows without an id go."""
-    own = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    return own.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+def _floor(x: Column) -> Column:
+    """As a double; from 2^53 on every double is whole."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
 
 
 def search(
@@ -146,44 +184,49 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of largest integer inner product of the vectors
     floor(scale * x), against all rows but its own. ``query_filter`` is SQL on vec_id. Vectors are compared
-    with those of the same length. Null vectors and vectors with null, non-finite or excessive components
-    (beyond 2^20) take no part; an empty table gives an empty result."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "topk")
-    fit = one_per_id(df.where(usable(F.col(vector_col), LARGEST)), id_col, vector_col)
+    with those of the same length. Null vectors and vectors with null or non-finite components take no part; a
+    vector of no components scores 0. Rows may repeat an id or lack one: a row is left out of its own
+    answers alone, so a repeated row finds its copies, and each query row has k answers of its own; a row without an id
+    comes last among equal scores. A score beyond 63 bits that would be among the answers is an error. An empty
+    table gives an empty result."""
+    scratch = Scratch(df.sparkSession, "topk")
+    own = df.where(usable(F.col(vector_col))).select(
+        F.col(id_col).cast("long").alias("vec_id"),
+        F.transform(vector_col, lambda x: _floor(x.cast("double") * scale)).alias("x"),
+    )
+    # rows equal in id and numbers are one, with a count: their answers are the same
     rows = scratch.save(
-        fit.select(
-            "vec_id",
-            F.size("vector").alias("length"),
-            F.transform("vector", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("x"),
-        )
+        own.groupBy("vec_id", "x").agg(F.count("*").alias("copies")).select("vec_id", "copies", F.size("x").alias("length"), "x", F.monotonically_increasing_id().alias("row"))
     )
     queries = rows.where(query_filter)
     blocks = max(1, -(-rows.count() // BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     numbered = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    vector = ["row", "vec_id", "x"]
     left = rows.select(
-        "length", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(numbered(query_blocks)).alias("query_block"), "vec_id", "x"
+        "length", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.explode(numbered(query_blocks)).alias("query_block"), *vector
     )
     right = queries.select(
-        "length", F.explode(numbered(blocks)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"), "vec_id", "x"
+        "length", F.explode(numbered(blocks)).alias("block"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"), *vector
     )
     keys = ["length", "block", "query_block"]
 
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("vec_id").to_numpy().astype(np.int64)
-        flat = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        return ids, flat.reshape(len(ids), -1)
-
     def find(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = [np.empty(0, np.int64)] * 3
-        if a.num_rows and b.num_rows:
-            found = best(*matrix(a), *matrix(b), k)
-        return pa.table({n: pa.array(f, pa.int64()) for n, f in zip(("query_id", "vec_id", "score"), found, strict=True)})
-
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(find, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = best(Block.of(a), Block.of(b), k + 1) if a.num_rows and b.num_rows else []  # one more: the query itself
+        if any(abs(f[2]) >= 1 << 63 for f in found):
+            raise OverflowError("an inner product among the best does not fit 64 bits")
+        return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("query", "row", "score"))})
+
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(find, "query long, row long, score long")
+    # of each query's rows over all blocks the first k + 1, then as often as they are there
+    told = parts.join(rows.select("row", "vec_id", "copies"), "row")
+    order = [F.desc("score"), F.col("vec_id").asc_nulls_last(), "row"]
+    first = told.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("_n") <= k + 1)
+    times = F.least(F.col("copies") - F.when(F.col("query") == F.col("row"), 1).otherwise(0), F.lit(k)).cast("int")
+    each = first.withColumn("times", times).where("times > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+    asked = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return ranked.join(asked, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
