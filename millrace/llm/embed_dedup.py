@@ -20,14 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, grouped, join_sets, read_table
-from .topk import one_per_id, usable
+from .topk import usable
 
 COSINE = 0.95
 WINDOW = 2048
 RECALL = 0.995
 #: Rows of a matrix product.
 BLOCK = 512
-TILE = 2048
+#: Vectors of a component that one task holds of a side; a component of m is read ceil(m / TILE) times.
+TILE = 8192
+#: Passes shuffled at a time; their files go before the next ones.
+AT_ONCE = 2
 SEED = 17
 #: Vectors that one task cuts further; cuts above follow from a sample of so many values.
 LEAF = 8192
@@ -45,9 +48,19 @@ def passes_needed(n: int, cosine: float = COSINE, window: int = WINDOW, recall:
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - both))) if both < 1 else 2
 
 
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(rows, -1)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (length, cid, copies, x as a list) -> the same with x as its numbers' bytes, which rows carry cheaply."""
+    for batch in batches:
+        lists = batch.column(3)
+        flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False))
+        offsets = np.concatenate([[0], np.cumsum(batch.column(0).to_numpy().astype(np.int64))]) * flat.itemsize
+        x = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], x.cast(pa.binary())], ["length", "cid", "copies", "x"])
+
+
+def _matrix(column: pa.ChunkedArray, rows: int, d: int) -> np.ndarray:
+    raw = b"".join(v.as_buffer() for v in column)
+    return np.frombuffer(raw, f"f{len(raw) // (rows * d)}").astype(np.float64).reshape(rows, d)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -90,7 +103,7 @@ def _route(numbers: list[int], trees: dict[tuple[int, int], dict[int, float]], c
             lengths = batch.column(0).to_numpy()
             for d in np.unique(lengths).tolist():
                 own = pa.Table.from_batches([batch.filter(pa.array(lengths == d))])
-                x = _unit(_matrix(own.column("x"), own.num_rows))
+                x = _unit(_matrix(own.column("x"), own.num_rows, d))
                 for number in numbers:
                     cuts = trees.get((number, d), {})
                     leaf, alive = np.ones(len(x), np.int64), np.ones(len(x))
@@ -133,10 +146,11 @@ def _cell_links(window: int, cosine: float):
         logarithm of the chance that it misses a partner of src (null where src was not open)."""
         for group in grouped(batches, 3):
             n = group.num_rows
-            x, cid = _unit(_matrix(group.column("x"), n)), group.column("cid").to_numpy()
+            d = int(group.column("length")[0].as_py())
+            x, cid = _unit(_matrix(group.column("x"), n, d)), group.column("cid").to_numpy()
             open_ = group.column("open").to_numpy(zero_copy_only=False).astype(bool)
             alive = group.column("alive").to_numpy().copy()
-            number, d, node = (int(group.column(k)[0].as_py()) for k in ("pass", "length", "leaf"))
+            number, node = (int(group.column(k)[0].as_py()) for k in ("pass", "leaf"))
             labels = np.arange(n)
             todo = [(node.bit_length() - 1, np.arange(n))]
             while todo:
@@ -168,7 +182,7 @@ def _rest_links(rest: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float):
             for d in set(np.unique(lengths).tolist()) & set(rest):
                 own = pa.Table.from_batches([batch.filter(pa.array(lengths == d))])
                 ids, y = rest[d]
-                x = np.concatenate([y, _unit(_matrix(own.column("x"), own.num_rows))])
+                x = np.concatenate([y, _unit(_matrix(own.column("x"), own.num_rows, d))])
                 cid = np.concatenate([ids, own.column("cid").to_numpy()])
                 labels = _unite(x, np.arange(len(y)), cosine)
                 moved = np.flatnonzero(labels != np.arange(len(x)))
@@ -179,10 +193,12 @@ def _rest_links(rest: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float):
 
 def _by_length(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """length -> ids and unit vectors, on the driver: of the sample, or of the few that are left."""
-    found: dict[int, list] = {}
-    for r in rows.select("length", "cid", "x").collect():
-        found.setdefault(r.length, []).append((r.cid, r.x))
-    return {d: (np.array([c for c, _ in own], np.int64), _unit(np.array([x for _, x in own], float))) for d, own in found.items()}
+    told = rows.select("length", "cid", "x").toArrow()
+    lengths, found = told.column("length").to_numpy(), {}
+    for d in np.unique(lengths).tolist():
+        own = told.filter(pa.array(lengths == d))
+        found[d] = own.column("cid").to_numpy(), _unit(_matrix(own.column("x"), own.num_rows, d))
+    return found
 
 
 def _links(classes: DataFrame, scratch: Scratch, cosine: float, window: int, recall: float) -> DataFrame:
@@ -194,18 +210,18 @@ def _links(classes: DataFrame, scratch: Scratch, cosine: float, window: int, rec
     sample = {}
     if max(counts.values()) > LEAF:
         sample = _by_length(classes.orderBy(F.xxhash64("cid", F.lit(SEED)), "cid").limit(max(1024, SAMPLE_VALUES // most)))
-    kind = classes.schema["x"].dataType.simpleString()
     keys = ["pass", "length", "leaf"]
     marked = classes.withColumn("open", F.lit(True))
     done, take, found = 0, passes_needed(max(counts.values()), cosine, window, recall), []
     while True:
-        numbers = list(range(done, done + take))
-        trees = {(p, d): _tree(x, counts[d], p) for p in numbers for d, (_, x) in sample.items()}
-        routed = marked.mapInArrow(
-            _route(numbers, trees, cosine), f"pass int, length int, leaf long, cid long, x {kind}, open boolean, alive double"
-        )
-        cells = routed.repartition(*keys).sortWithinPartitions(*keys, "cid")
-        found.append(scratch.save(cells.mapInArrow(_cell_links(window, cosine), "src long, dst long, miss double")))
+        for first in range(done, done + take, AT_ONCE):
+            numbers = list(range(first, min(first + AT_ONCE, done + take)))
+            trees = {(p, d): _tree(x, counts[d], p) for p in numbers for d, (_, x) in sample.items()}
+            routed = marked.mapInArrow(
+                _route(numbers, trees, cosine), "pass int, length int, leaf long, cid long, x binary, open boolean, alive double"
+            )
+            cells = routed.repartition(*keys).sortWithinPartitions(*keys, "cid")
+            found.append(scratch.save(cells.mapInArrow(_cell_links(window, cosine), "src long, dst long, miss double")))
         done += take
         told = found[0]
         for more in found[1:]:
@@ -227,19 +243,19 @@ def _links(classes: DataFrame, scratch: Scratch, cosine: float, window: int, rec
 
 def _count_links(cosine: float):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (component, i, j, part, cid, copies, x), sorted: how many vectors each one links with in its tile."""
+        """Rows (component, i, j, part, cid, copies, length, x), sorted: how many vectors each one links with in its tile."""
         for group in grouped(batches, 3):
             n = group.num_rows
-            x, cid = _unit(_matrix(group.column("x"), n)), group.column("cid").to_numpy()
+            x, cid = _unit(_matrix(group.column("x"), n, int(group.column("length")[0].as_py()))), group.column("cid").to_numpy()
             copies, part = group.column("copies").to_numpy(), group.column("part").to_numpy()
             crossed = group.column("i")[0] != group.column("j")[0]
             links = np.zeros(n, np.int64)
-            for a in range(0, n, TILE):
-                near = x[a : a + TILE] @ x.T >= cosine
+            for a in range(0, n, BLOCK):
+                near = x[a : a + BLOCK] @ x.T >= cosine
                 near[np.arange(len(near)), a + np.arange(len(near))] = False
                 if crossed:
-                    near &= part[a : a + TILE, None] != part[None, :]
-                links[a : a + TILE] = near @ copies
+                    near &= part[a : a + BLOCK, None] != part[None, :]
+                links[a : a + BLOCK] = near @ copies
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(links)], ["cid", "links"])
 
     return count
@@ -253,19 +269,23 @@ def near_duplicates(
     window: int = WINDOW,
     recall: float = RECALL,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id), one row a vec_id. Equal vectors are one class and are compared once.
-    Null, empty and zero vectors and vectors with null or non-finite components link with nothing; vectors
-    link with those of their own length only; of rows that repeat a vec_id the smallest vector counts, and
-    rows without one go."""
+    """(vec_id, n_links, component_id), one for each row of ``df``. Equal vectors are one class and are compared
+    once. Null, empty and zero vectors and vectors with null or non-finite components link with nothing; vectors
+    link with those of their own length only. Ids may repeat or be null: every row counts as a vector of its own;
+    component_id is the smallest id there is in a component, null if none has one."""
     scratch = Scratch(df.sparkSession, "embed")
     some = F.exists(F.col(vector_col), lambda x: x != 0)
-    able = df.where(usable(F.col(vector_col)) & some)
-    vectors = scratch.save(one_per_id(able, id_col, vector_col))
-    classes = scratch.save(
-        vectors.groupBy(F.col("vector").alias("x")).agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"))
-    )
-    coded = classes.select(F.size("x").alias("length"), "cid", "x")
-    links = scratch.save(_links(coded, scratch, cosine, window, recall))
+    vector = F.col(vector_col)
+    if df.schema[vector_col].dataType.elementType.typeName() not in ("float", "double"):
+        vector = vector.cast("array<double>")
+    # 128 bits that name a vector; null where it links with nothing
+    name = [F.when(usable(F.col(vector_col)) & some, F.xxhash64(F.lit(n), vector)).alias(f"v{n}") for n in (1, 2)]
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("x"), *name)
+    named = rows.where("v1 IS NOT NULL").groupBy("v1", "v2").agg(F.first("x").alias("x"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    listed = scratch.save(named.withColumn("cid", F.monotonically_increasing_id()))
+    packed = listed.select(F.size("x").alias("length"), "cid", "copies", "x").mapInArrow(_packed, "length int, cid long, copies long, x binary")
+    classes = scratch.save(packed)
+    links = scratch.save(_links(classes.drop("copies"), scratch, cosine, window, recall))
 
     member = scratch.save(components(links, scratch))
     parts = member.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("long").alias("parts"))
@@ -278,9 +298,8 @@ def near_duplicates(
         F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
         lambda t: F.struct(F.least(t, "part").alias("i"), F.greatest(t, "part").alias("j")),
     )
-    tiles = dealt.select("component", F.explode(every).alias("t"), "part", "cid", "copies", "x").select(
-        "component", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "part", "cid", "copies", "x"
-    )
+    vectors = ["part", "cid", "copies", "length", "x"]
+    tiles = dealt.select("component", F.explode(every).alias("t"), *vectors).select("component", "t.i", "t.j", *vectors)
     counted = (
         tiles.repartition("component", "i", "j")
         .sortWithinPartitions("component", "i", "j", "cid")
@@ -288,22 +307,21 @@ def near_duplicates(
         .groupBy("cid")
         .agg(F.sum("links").alias("links"))
     )
-    named = (
-        classes.join(counted, "cid", "left")
+    known = scratch.save(
+        listed.drop("x")
+        .join(counted, "cid", "left")
         .join(member.withColumnRenamed("node", "cid"), "cid", "left")
-        .select(
-            F.col("x").alias("vector"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "cid").alias("component_id"),
-        )
+        .select("v1", "v2", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
     )
-    found = vectors.join(named, "vector").select("vec_id", "n_links", "component_id")
-    rest = (
-        df.select(F.col(id_col).cast("long").alias("vec_id")).where("vec_id IS NOT NULL").distinct().join(vectors, "vec_id", "left_anti")
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = known.join(least, "component").select("v1", "v2", "n_links", "component_id", F.lit(True).alias("told"))
+    return rows.drop("x").join(told, ["v1", "v2"], "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(F.col("told"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
     )
-    return found.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "embeddings"))
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

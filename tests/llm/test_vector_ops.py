@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -45,35 +47,45 @@ def test_empty_table(spark, nothing, name):
     assert queries.QUERIES[name](spark, nothing).count() == 0
 
 
+def able(v):
+    return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
 def brute_links(rows):
-    good = {}
-    for i, v, _ in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = np.array(v)
-    ids = sorted(good)
-    links = {i: set() for i in ids}
-    for i in ids:
-        for j in ids:
-            if i != j and len(good[i]) == len(good[j]):
-                a, b = good[i], good[j]
-                if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.95:
-                    links[i].add(j)
-    label = {i: i for i in ids}
+    """Per row: how many others it links with, and the smallest id it reaches (its own, null or not, if it links with none)."""
+    x = [np.array(v) if able(v) else None for _, v, _ in rows]
+    near = [
+        [j for j, b in enumerate(x) if j != i and a is not None and b is not None and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.95]
+        for i, a in enumerate(x)
+    ]
+    group = list(range(len(rows)))
     while True:
-        before = dict(label)
-        for i in ids:
-            label[i] = min([label[i], *(label[j] for j in links[i])])
-        if label == before:
-            return {i: len(v) for i, v in links.items()}, label
+        before = list(group)
+        for i in range(len(rows)):
+            group[i] = min([group[i], *(group[j] for j in near[i])])
+        if group == before:
+            break
+    ids = {}
+    for (i, _, _), g in zip(rows, group, strict=True):
+        ids.setdefault(g, []).append(i)
+    return [(r[0], len(n), min((i for i in ids[g] if i is not None), default=None)) for r, n, g in zip(rows, near, group, strict=True)]
 
 
 def test_near_duplicates_equal_brute_force(spark, awkward):
-    links, label = brute_links(vectors())
-    got = {r.vec_id: r for r in queries.QUERIES["op5_embedding_near_dedup"](spark, awkward).collect()}
-    assert set(got) == {i for i, _, _ in vectors() if i is not None}
-    for i, r in got.items():
-        assert (r.n_links, r.component_id) == (links.get(i, 0), label.get(i, i))
-        assert r.kept == (i == r.component_id)
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in queries.QUERIES["op5_embedding_near_dedup"](spark, awkward).collect())
+    assert got == Counter(brute_links(vectors()))
+
+
+def test_kept_rows(spark, awkward):
+    for r in queries.QUERIES["op5_embedding_near_dedup"](spark, awkward).collect():
+        assert r.kept == (r.vec_id == r.component_id)
+
+
+def test_rows_that_repeat_or_lack_an_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (None, [1.0, 0.01], 0), (None, [-1.0, -1.0], 0), (7, [0.01, 1.0], 0), (7, [0.01, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter(tuple(r) for r in embed_dedup.near_duplicates(df).collect())
+    assert got == Counter(brute_links(rows)) and sum(got.values()) == 6
 
 
 def test_windows_across_blocks_and_dense_groups(spark, monkeypatch):
@@ -83,21 +95,22 @@ def test_windows_across_blocks_and_dense_groups(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 32)
     monkeypatch.setattr(embed_dedup, "TILE", 16)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, window=8).collect()}
-    links, label = brute_links(rows)
-    assert got == {i: (links[i], label[i]) for i in links}  # windows of 8 find a group of 150, counted in full
-
-
-def test_recall_on_the_tables(spark):
-    sf = "/root/testdata/check_h"
-    df = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 4000")
-    rows = [(r.vec_id, r.embedding, 0) for r in df.collect()]
-    x = np.array([r[1] for r in rows], float)
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-    near = x @ x.T >= 0.95
+    got = Counter(tuple(r) for r in embed_dedup.near_duplicates(df, window=8).collect())
+    assert got == Counter(brute_links(rows))  # windows of 8 find a group of 150, counted in full
+
+
+@pytest.mark.parametrize("cone", [0.0, 0.7])
+def test_recall_of_links(spark, cone):
+    """Links found of those there are, over groups of two to forty around common centres."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    centre = unit(np.sqrt(cone) * np.eye(32)[0] + np.sqrt(1 - cone) * unit(rng.normal(size=(1500, 32))))
+    x = np.concatenate([centre, *(unit(centre[:n] + 0.03 * rng.normal(size=(n, 32))) for n in (300, 100, *([20] * 38)))])
+    near = unit(x) @ unit(x).T >= 0.95
     np.fill_diagonal(near, False)
-    total = sum(r.n_links for r in embed_dedup.near_duplicates(df).collect())
-    assert total <= near.sum() and total >= 0.9 * near.sum()
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    total = sum(r.n_links for r in embed_dedup.near_duplicates(df, window=64).collect())
+    assert 0.98 * near.sum() <= total <= near.sum()
 
 
 @pytest.mark.parametrize(("n", "cone", "share"), [(8000, 0.8, 1.0), (20_000, 0.8, 0.34), (20_000, 0.0, 0.0)])
@@ -122,17 +135,42 @@ def test_passes_grow_with_the_table():
     assert 2 <= few < many < 500
 
 
+def brute_topk(rows, step, k=5):
+    fine = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    wanted = Counter()
+    for n, (q, x) in enumerate(fine):
+        if q is not None and q % step == 0:
+            scored = [(-sum(a * b for a, b in zip(x, y, strict=True)), i is None, i) for m, (i, y) in enumerate(fine) if m != n and len(y) == len(x)]
+            best = sorted(scored, key=lambda s: (s[0], s[1], s[2] or 0))[:k]
+            wanted.update((q, r + 1, i, -s) for r, (s, _, i) in enumerate(best))
+    return wanted
+
+
 def test_topk_equals_brute_force(spark, awkward):
-    good = {}
-    for i, v, _ in vectors():
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            good[i] = np.array([np.floor(256 * x) for x in v], dtype=np.int64)
-    wanted = set()
-    for q in (i for i in good if i % 50 == 0):
-        best = sorted((-int(good[q] @ good[i]), i) for i in good if i != q and len(good[i]) == len(good[q]))[:5]
-        wanted |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in queries.QUERIES["op6_exact_topk"](spark, awkward).collect()}
-    assert got == wanted
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in queries.QUERIES["op6_exact_topk"](spark, awkward).collect())
+    assert got == brute_topk(vectors(), 50)
+
+
+def test_topk_of_large_components_and_repeated_ids(spark):
+    """Components of 2^21 and far more; ids that repeat with other vectors, copies."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=4)], 0) for i in range(60)]
+    rows[3] = (3, [float(1 << 21), 0.5, 0.0, 0.0], 0)
+    rows[4] = (4, [-float(1 << 21), 0.25, 1.0, 0.0], 0)
+    rows[5] = (5, [2.0**42, -(2.0**42), 0.0, 0.0], 0)
+    rows[10] = (10, [2.0**20, 0.0, -1.0, 3.0], 0)
+    rows += [(1, [3.0, 1.0, 1.0, 1.0], 0), (1, [-3.0, 1.0, 1.0, 1.0], 0), (20, [5.0, 5.0, 5.0, 5.0], 0), (None, [9.0, 9.0, 9.0, 9.0], 0), rows[30], rows[30], rows[0]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, "vec_id % 10 = 0 AND vec_id <> 10").collect())
+    assert got == Counter({k: n for k, n in brute_topk(rows, 10).items() if k[0] != 10})
+    many = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df.where("vec_id IS NULL OR vec_id <> 5"), "vec_id = 10").collect())
+    assert many == Counter({k: n for k, n in brute_topk([r for r in rows if r[0] != 5], 10).items() if k[0] == 10})
+
+
+def test_topk_that_fits_no_long_is_an_error(spark):
+    df = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(df, "vec_id = 0").collect()
 
 
 def test_topk_equals_sql(spark, sf):
@@ -150,8 +188,10 @@ def test_bit_slices(n, d, high):
     rng = np.random.default_rng(n)
     x = rng.integers(-high, high, (n, d))
     ids = rng.permutation(n)
+    block = lambda m: topk.Block(np.arange(n)[:m], ids[:m], np.ones(n, bool)[:m], x[:m].astype(float))
     got = {}
-    for q, i, s in zip(*topk.best(ids, x, ids[:20], x[:20], 5), strict=True):
-        got.setdefault(q, []).append((-s, i))
+    for q, row, s in topk.best(block(n), block(20), 6):
+        if q != row:
+            got.setdefault(q, []).append((-s, ids[row]))
     for k in range(min(20, n)):
-        assert got[ids[k]] == sorted((-(x[m] @ x[k]), ids[m]) for m in range(n) if m != k)[:5]
+        assert got[k][:5] == sorted((-(x[m] @ x[k]), ids[m]) for m in range(n) if m != k)[:5]
