@@ -145,3 +145,21 @@ def test_flatten_nested(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": [1, "x"]}, "e": [], "o": {}, "t": true}')], "id int, j string").select("id", F.parse_json("j").alias("v"))
     got = {r.path: r.value for r in provenance.flatten(df, "id", "v").collect()}
     assert got == {"a.b[0]": "1", "a.b[1]": "x", "e": "[]", "o": "{}", "t": "true"}
+
+
+@pytest.mark.parametrize("few", [0, 5, 1 << 20])
+def test_components_in_rounds_and_in_one_task(spark, tmp_path, few):
+    import random
+
+    from millrace.operators.components import components
+    from millrace.storage import Scratch
+
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(25)] + [(3, 3), (-5, 100)]
+    label = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    found = components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "test"), few)
+    assert {r.node: r.component for r in found.collect()} == label
