@@ -14,15 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, grouped, join_sets, read_table
+from .common import Scratch, components, grouped, join_sets, read_table, row_digest, row_name
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-TILE = 2048
+#: Small, so that the tiles of one block group span few population counts.
+TILE = 256
 GROUP_ROWS = 100_000
 #: Shingles hashed at a time, which bounds the memory for a very long text.
 CHUNK = 1 << 16
@@ -51,21 +52,25 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.int64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["doc_id", "row", "fp"])
-
-
-def row_name(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """64 bits of id and text, null or not."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(3)), np.int64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["doc_id", "r1", "r2", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, fp) for every row; ``row`` is its name."""
-    three = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), row_name(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")
-    )
-    return three.mapInArrow(_fingerprints, "doc_id long, row long, fp long")
+    """(doc_id, r1, r2, fp) for every row; r1 and r2 name it."""
+    told = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_name(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    return told.mapInArrow(_fingerprints, "doc_id long, r1 long, r2 long, fp long")
+
+
+def tile_pairs(counts: np.ndarray, tile: int, radius: int) -> Iterator[tuple[int, int]]:
+    """First rows of the tiles to compare, given the rows' population counts in ascending order: a pair of tiles
+    is skipped where the counts differ by more than the radius throughout."""
+    for i in range(0, len(counts), tile):
+        most = counts[min(i + tile, len(counts)) - 1] + radius
+        for j in range(i, len(counts), tile):
+            if counts[j] > most:
+                break
+            yield i, j
 
 
 def linked(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +81,13 @@ def linked(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, tile:
     sides = None if side is None else side[order]
     counts = np.bitwise_count(x).astype(np.int64)
     labels = np.arange(len(x))
-    for i in range(0, len(x), tile):
-        rows = x[i : i + tile]
-        for j in range(i, len(x), tile):
-            if counts[j] - counts[min(i + tile, len(x)) - 1] > radius:
-                break
-            near = np.bitwise_count(rows[:, None] ^ x[None, j : j + tile]) <= radius
-            if sides is not None:
-                near &= sides[i : i + tile, None] != sides[None, j : j + tile]
-            a, b = np.nonzero(near)
-            later = a + i < b + j
-            join_sets(labels, a[later] + i, b[later] + j)
+    for i, j in tile_pairs(counts, tile, radius):
+        near = np.bitwise_count(x[i : i + tile, None] ^ x[None, j : j + tile]) <= radius
+        if sides is not None:
+            near &= sides[i : i + tile, None] != sides[None, j : j + tile]
+        a, b = np.nonzero(near)
+        later = a + i < b + j
+        join_sets(labels, a[later] + i, b[later] + j)
     smallest = np.full(len(x), np.iinfo(np.int64).max)
     signed = x.view(np.int64)
     np.minimum.at(smallest, labels, signed)
@@ -134,9 +135,10 @@ def near_links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, fp, component, component_id) for every row: component_id is the smallest doc_id reachable by links of
+    """(doc_id, r1, r2, fp, component, component_id) for every row: component_id is the smallest doc_id reachable by links of
     ``RADIUS`` differing bits or fewer. Null and wordless texts have fingerprint 0 and link like any other;
-    repeated rows stay; a null doc_id keeps its row and is never a component's name unless all are null."""
+    repeated rows stay; a null doc_id keeps its row and is never a component's name unless all are null. An empty
+    table gives an empty table; a very long text is hashed ``CHUNK`` shingles at a time."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, id_col, text_col))
     reps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -151,18 +153,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, that of the smallest id (null ids last); the
-    same columns."""
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id (null ids last; then by name);
+    the same columns, whatever their names and types. Of rows equal in id and text one stays, the same one each time."""
     scratch = Scratch(docs.sparkSession, "simhash")
     found = scratch.save(near_duplicates(docs, id_col, text_col))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
-    chosen = found.groupBy("component").agg(first, F.count("*").alias("n")).select(F.col("first.row").alias("chosen"), "n")
-    chosen = scratch.save(chosen)
-    kept = docs.join(chosen.select("chosen"), row_name(id_col, text_col) == F.col("chosen"), "left_semi")
-    if found.count() == found.select("row").distinct().count():
-        return kept
-    named = kept.withColumn("_row_name", row_name(id_col, text_col))  # rows may repeat as a whole
-    return named.dropDuplicates(["_row_name"]).drop("_row_name")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "r1", "r2")).alias("first")
+    chosen = scratch.save(found.groupBy("component").agg(first).select("first.r1", "first.r2"))
+    packed = docs.select(F.struct("*").alias("record"), *row_name(id_col, text_col), row_digest(docs).alias("tie"))
+    kept = packed.join(chosen, ["r1", "r2"], "left_semi")
+    if not found.groupBy("r1", "r2").count().where("count > 1").isEmpty():  # rows may repeat as a whole
+        kept = kept.groupBy("r1", "r2").agg(F.min_by("record", "tie").alias("record"))
+    return kept.select("record.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
