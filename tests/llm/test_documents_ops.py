@@ -126,6 +126,45 @@ def test_one_of_each_group(spark):
     assert ids.count(3) == 2 and 7 not in ids  # the copy goes; another text under the same id stays
 
 
+def test_tiles_of_distant_population_counts_are_skipped():
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.int64))
+    counts = np.sort(np.bitwise_count(fps.view(np.uint64)).astype(np.int64))
+    pairs = set(simhash.tile_pairs(counts, simhash.TILE, 4))
+    tiles = range(0, len(counts), simhash.TILE)
+    every = {(i, j) for i in tiles for j in tiles if i <= j}
+    assert pairs < every and len(every - pairs) > len(every) // 4
+    for i, j in every - pairs:  # nothing in a skipped pair can be near
+        assert counts[j] - counts[min(i + simhash.TILE, len(counts)) - 1] > 4
+
+
+def test_names_and_types_of_columns_do_not_matter(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark)
+    names = ("chosen", "_row_name", "r1", "r2", "tie", "fp", "component", "to", "bucket", "records", "start")
+    wide = df.select("*", *[F.col("doc_id").alias(n) for n in names], F.create_map(F.lit("k"), F.col("source")).alias("m"), F.parse_json(F.lit("[1]")).alias("v"))
+    kept = simhash.one_of_each(wide)
+    assert kept.columns == wide.columns
+    assert Counter((r.doc_id, r.text, r.chosen, r._row_name, r.m["k"]) for r in kept.collect()) == Counter((r.doc_id, r.text, r.doc_id, r.doc_id, r.source) for r in simhash.one_of_each(df).collect())
+    sharded = sharding.external_shuffle(wide, 4)
+    assert sharded.select("record.*").columns == wide.columns and sharded.count() == wide.count()
+
+
+def test_rows_equal_in_id_and_text_leave_one(spark):
+    df = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", "y")], "doc_id long, text string, chosen string")
+    found = {tuple(map(tuple, simhash.one_of_each(df.repartition(n)).collect())) for n in (1, 2, 3)}
+    assert len(found) == 1 and len(next(iter(found))) == 1
+
+
+def test_every_bucket_has_a_task_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    n = 1250
+    told = spark.range(n).select("id", sharding.hashed_to(F.col("id")).alias("to")).repartition(n, "to")
+    assert told.groupBy(F.spark_partition_id()).count().where("count > 1").isEmpty()
+
+
 def test_license_scan_rows(spark, awkward):
     same(queries.QUERIES["op4_license_scan"](spark, awkward).where("doc_id IS NOT NULL AND doc_id NOT IN (3, 10)"), connect(awkward), f"SELECT * FROM ({queries.ORACLE_SQL['op4_license_scan']}) WHERE doc_id NOT IN (3, 10)")
 
@@ -169,20 +208,32 @@ def test_wrapped_notices_equal_all_blocks(spark):
     for _ in range(150):
         words = [w for _ in range(4) for w in rng.choice(license_scan.TEMPLATES)[1].split() + ["river"] * rng.randrange(30) if rng.random() < 0.95]
         texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n\n"]) for w in words))
-    step = max(len(notice.split()) for _, notice in license_scan.TEMPLATES)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in license_scan.scan(df, keep=("doc_id",)).collect():
         text = texts[r.record.doc_id]
         words = text.split()
-        tried = [line.split() for line in text.split("\n")] + [words[i : i + 2 * step] for i in range(0, len(words), step) if len(text.split("\n")) > 1]
+        lines = [line.split() for line in text.split("\n")]
         wanted = {p for p, w in license_scan.BASE_PHRASES.items() if f" {w} " in f" {' '.join(words)} "}
         for label, notice in license_scan.TEMPLATES:
-            own = set(notice.split())
+            own, step = set(notice.split()), 1
+            while step < len(notice.split()):
+                step *= 2
+            tried = lines + [words[i : i + 2 * step] for i in range(0, len(words), step) if len(lines) > 1]
             if any(5 * len(own & set(b)) >= 4 * len(own) for b in tried):
                 wanted.add(label)
         assert r.labels == ",".join(sorted(wanted))
 
 
+def test_license_base_places_of_a_long_text_take_linear_time():
+    import time
+
+    words = b"all rights reserved cc by river".split() * 100_000
+    began = time.time()
+    places = license_scan.base_places(words)
+    assert time.time() - began < 10
+    assert places == {"reserved": list(range(0, 600_000, 6)), "cc-by": list(range(3, 600_000, 6))}
+
+
 def covered(texts):
     seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     for t in texts:
