@@ -4,7 +4,9 @@ A document's place is a 60-bit hash. Per source, words are summed by hash cell;
 sum passes the budget is the boundary, and only that cell is cut finer, until single documents decide.
 A document is then in the mix if its hash lies below its source's threshold: no sort of the documents.
 What the boundary document left unfilled is a new, smaller budget for the documents behind it that are
-small enough, so the thresholds of the rounds are nested, one behind the other.
+small enough, so the thresholds of the rounds are nested, one behind the other. Rounds go on until nothing behind
+a threshold fits: together they take what a walk through the documents by hash would take that passes over each
+one too large for what is left.
 """
 
 from __future__ import annotations
@@ -68,12 +70,13 @@ def plan_mix(
     scratch: Scratch,
     weights: tuple[int, ...] = WEIGHTS,
     max_repeat: int = MAX_REPEAT,
-    cell_bits: int = 10,
-    rounds: int = 4,
+    cell_bits: int = 15,
 ) -> DataFrame:
     """One row a source: source_size, target, ``base`` whole repeats for every document and ``rules``, the
     hash ranges of the documents taken once more. ``measured`` should be a stored table: it is read once a
-    level. Documents of one place that cross the threshold together are taken or left together."""
+    level. Documents of one place that cross the threshold together are taken or left together. What a source
+    misses of its budget is less than each document left out holds. A histogram has 2 ** cell_bits cells a source at
+    most, and one row a document at most."""
     goal = targets(measured, weights, max_repeat)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = goal.withColumn("base", base).withColumn(
@@ -84,7 +87,7 @@ def plan_mix(
         "rules", F.array().cast("array<struct<start:bigint,most:bigint,end:bigint>>")
     )
     top = 1 << HASH_BITS
-    for _ in range(rounds):
+    while True:
         # a round: find each source's threshold among documents from ``start`` on, no larger than ``left``
         state = scratch.save(state.withColumn("most", F.col("left")).withColumn("cell", F.lit(0).cast("long")).withColumn("open", (F.col("left") > 0) & (F.col("start") < top)))
         if state.where("open").isEmpty():
@@ -180,8 +183,8 @@ def mix(
 
     Null sources are a source of their own, last in order; null and blank texts have size 0 and are never
     taken; an empty table gives an empty mix. Rows equal in id and text are taken or left together. The
-    words taken from a source stay at or below its target; what is missing is less than the smallest
-    document that was still free after the last round."""
+    words taken from a source stay at or below its target; what is missing is less than any document left out
+    holds. Columns of any further names do not matter: only the three are read."""
     scratch = Scratch(docs.sparkSession, "mix")
     measured = scratch.save(measure(docs, id_col, source_col, text_col, seed))
     plan = plan_mix(measured, scratch, weights, max_repeat)
@@ -207,7 +210,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-#: The same rounds with exact running sums over documents; places are taken to be distinct.
+#: A walk through the documents of each source by place, taking what still fits; places are taken to be distinct.
 OP9_SQL = """
 WITH RECURSIVE m AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -224,20 +227,10 @@ b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGI
 r0 AS (SELECT m.*, b.source_size, b.target, b.base,
     CASE WHEN b.base >= 3 THEN 0 ELSE floor(b.target - b.base * b.source_size)::BIGINT END AS budget
   FROM m JOIN b ON m.source IS NOT DISTINCT FROM b.source),
-r1 AS (SELECT *, CASE WHEN size > 0 AND size <= budget THEN sum(CASE WHEN size <= budget THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) END AS run FROM r0),
-e1 AS (SELECT source AS s1, coalesce(min(CASE WHEN run > budget THEN place END), 1::BIGINT << 60) AS end1,
-    max(budget) - coalesce(sum(CASE WHEN run <= budget THEN size END), 0) AS left1 FROM r1 GROUP BY source),
-r2 AS (SELECT r1.*, e1.*, CASE WHEN place > end1 AND size > 0 AND size <= left1 THEN sum(CASE WHEN place > end1 AND size <= left1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) END AS run2
-  FROM r1 JOIN e1 ON r1.source IS NOT DISTINCT FROM e1.s1),
-e2 AS (SELECT source AS s2, coalesce(min(CASE WHEN run2 > left1 THEN place END), 1::BIGINT << 60) AS end2,
-    max(left1) - coalesce(sum(CASE WHEN run2 <= left1 THEN size END), 0) AS left2 FROM r2 GROUP BY source),
-r3 AS (SELECT r2.*, e2.*, CASE WHEN place > end2 AND size > 0 AND size <= left2 THEN sum(CASE WHEN place > end2 AND size <= left2 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) END AS run3
-  FROM r2 JOIN e2 ON r2.source IS NOT DISTINCT FROM e2.s2),
-e3 AS (SELECT source AS s3, coalesce(min(CASE WHEN run3 > left2 THEN place END), 1::BIGINT << 60) AS end3,
-    max(left2) - coalesce(sum(CASE WHEN run3 <= left2 THEN size END), 0) AS left3 FROM r3 GROUP BY source),
-r4 AS (SELECT r3.*, e3.*, CASE WHEN place > end3 AND size > 0 AND size <= left3 THEN sum(CASE WHEN place > end3 AND size <= left3 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) END AS run4
-  FROM r3 JOIN e3 ON r3.source IS NOT DISTINCT FROM e3.s3)
-SELECT doc_id, size, source_size, target,
-  (size * (base + CASE WHEN run <= budget OR run2 <= left1 OR run3 <= left2 OR run4 <= left3 THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r4
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) AS i FROM r0 WHERE size > 0),
+w AS (SELECT source, 0::BIGINT AS i, max(budget) AS remaining, 0::BIGINT AS took FROM r0 GROUP BY source UNION ALL
+  SELECT w.source, o.i, w.remaining - CASE WHEN o.size <= w.remaining THEN o.size ELSE 0 END, (o.size <= w.remaining)::BIGINT
+  FROM w JOIN o ON o.source IS NOT DISTINCT FROM w.source AND o.i = w.i + 1)
+SELECT doc_id, size, source_size, target, (size * (base + took))::BIGINT AS taken FROM o JOIN w ON o.source IS NOT DISTINCT FROM w.source AND o.i = w.i
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM r0 WHERE size = 0
 """
