@@ -14,18 +14,22 @@ replacement. The best value left open is the threshold from which inclusion scor
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
 
+#: The vocabulary file that the query reads unless the session's SETTING names another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+SETTING = "spark.millrace.pieceModel"
 SAMPLES = 2
 SEED = 23
 #: Chunks sampled at a time, which bounds the memory; a longer text is a slice of its own.
@@ -35,6 +39,11 @@ SPACE = "▁"
 LITERAL = "\udc81"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 KNOWN_BITS = 20
+#: Levels (characters to a chunk's end) summed for all chunks together; beyond them chunks are few.
+LEVELS = 256
+#: So many chunks or fewer are walked one by one, WALK draws at a time.
+FEW = 8
+WALK = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,6 +58,22 @@ class Pieces:
     byte_first: int
     surface: list[bytes]
     known: np.ndarray  # by the leading KNOWN_BITS of a hash: whether a piece may have it
+    first: np.ndarray  # by the same bits: the first place in ``hashes``, and the end
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes ``h`` (all of known leading bits) are pieces, and their places in ``hashes``."""
+        lead = h >> np.uint64(64 - KNOWN_BITS)
+        at, end = self.first[lead], self.first[lead + np.uint64(1)]
+        open_ = np.flatnonzero(self.hashes[at] != h)
+        found = np.ones(len(h), bool)
+        while len(open_):  # a few pieces share their leading bits
+            at[open_] += 1
+            over = at[open_] >= end[open_]
+            found[open_[over]] = False
+            open_ = open_[~over]
+            open_ = open_[self.hashes[at[open_]] != h[open_]]
+        hit = np.flatnonzero(found)
+        return hit, at[hit]
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -74,7 +99,9 @@ class Pieces:
         order = np.argsort(hashes)
         known = np.zeros(1 << KNOWN_BITS, bool)
         known[hashes >> np.uint64(64 - KNOWN_BITS)] = True
-        return Pieces(hashes[order], np.array(plain)[order], weight, sorted({len(text[i]) for i in plain}), bytes_[0], surface, known)
+        hashes = hashes[order]
+        first = np.searchsorted(hashes, np.arange(1 << KNOWN_BITS, dtype=np.uint64) << np.uint64(64 - KNOWN_BITS))
+        return Pieces(hashes, np.array(plain)[order], weight, sorted({len(text[i]) for i in plain}), bytes_[0], surface, known, np.append(first, len(hashes)))
 
 
 def _prefix(codes: np.ndarray) -> np.ndarray:
@@ -120,23 +147,26 @@ class Lattices:
     edges are contiguous too, with their cumulative probabilities (the last is 1)."""
 
     def __init__(self, chunks: list[str], pieces: Pieces) -> None:
-        lengths = np.array([len(c) for c in chunks])
+        lengths = np.fromiter(map(len, chunks), np.int32, len(chunks))
         joined = "".join(chunks)
         raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(raw)
-        ends = np.repeat(np.cumsum(lengths), lengths)
-        place = np.arange(n)
-        remains = ends - place
+        stop = np.cumsum(lengths, dtype=np.int32)
+        place = np.arange(n, dtype=np.int32)
+        remains = np.repeat(stop, lengths) - place
         sums, inverse = _prefix(_codes(joined)), _powers(n + 1)[1]
-        src, size, ids = [], [], []
+        number = np.empty(n + 1, np.int32)
+        most = int(remains.max(initial=0))
+        number[np.argsort(remains.astype(np.uint16) if most < 1 << 16 else remains, kind="stable")] = place
+        self.start = number[stop - lengths].astype(np.int64)
+        found = []  # for each piece length, from the shortest: places, places of the pieces
         at = place
         for length in pieces.lengths:
             if length <= 6:  # most places can start so short a piece: no gathering
                 m = n - length + 1
                 h = (sums[length:] - sums[:m]) * inverse[:m] if m > 0 else sums[:0]
-                at = np.flatnonzero(pieces.known[h >> np.uint64(64 - KNOWN_BITS)] & (remains[: max(m, 0)] >= length))
-                h, maybe = h[at], at
-                at = place
+                maybe = np.flatnonzero(pieces.known[h >> np.uint64(64 - KNOWN_BITS)] & (remains[: max(m, 0)] >= length))
+                h = h[maybe]
             else:
                 at = at[remains[at] >= length]
                 if not len(at):
@@ -144,68 +174,79 @@ class Lattices:
                 h = (sums[length:][at] - sums[at]) * inverse[at]
                 keep = np.flatnonzero(pieces.known[h >> np.uint64(64 - KNOWN_BITS)])
                 h, maybe = h[keep], at[keep]
-            k = np.searchsorted(pieces.hashes, h)
-            k[k == len(pieces.hashes)] = 0
-            hit = np.flatnonzero(pieces.hashes[k] == h)
-            src.append(maybe[hit])
-            size.append(np.full(len(hit), length))
-            ids.append(pieces.ids[k[hit]])
+            hit, k = pieces.places(h)
+            found.append((length, maybe[hit], k))
         alone = np.ones(n, bool)  # characters that are no piece: their bytes, as one edge
-        if src and pieces.lengths[0] == 1:
-            alone[src[0]] = False
+        if found and found[0][0] == 1:
+            alone[found[0][1]] = False
         spare = np.flatnonzero(alone)
-        src.append(spare)
-        size.append(np.ones(len(spare), np.int64))
-        ids.append(-1 - raw[spare].astype(np.int64))
-        src, size, ids = (np.concatenate(x).astype(np.int64) for x in (src, size, ids))
 
-        number = np.empty(n + 1, np.int64)
-        most = int(remains.max(initial=0))
-        number[np.argsort(remains.astype(np.uint16) if most < 1 << 16 else remains, kind="stable")] = place
-        first = np.cumsum(lengths) - lengths
-        self.start = number[first]
-        node = number[src]
-        order = np.argsort(node * 256 + (255 - size))  # long pieces are the likely ones, so draws end early
-        node, src, size, self.ids = node[order], src[order], size[order], ids[order]
-        last = size == remains[src]
-        self.target = np.where(last, -1, number[np.minimum(src + size, n)])
-        self.n_ids = np.ones(len(node), np.int64)
-        weight = np.empty(len(node))
-        plain = self.ids >= 0
-        weight[plain] = pieces.weight[self.ids[plain]]
-        odd = np.flatnonzero(~plain)
-        point = -1 - self.ids[odd]
+        # edges by node, long pieces first: they are the likely ones, so draws end early
+        count = np.zeros(n + 1, np.int32)
+        for _, own, _ in found:
+            count[number[own]] += 1
+        count[number[spare]] += 1
+        edge_start = np.zeros(n + 1, np.int64)
+        np.cumsum(count[:n], out=edge_start[1:])
+        total = int(edge_start[n])
+        free = edge_start[:n].copy()
+        node, ids, target = (np.empty(total, np.int32) for _ in range(3))
+        weight, rank = np.empty(total), np.empty(total, np.int8)
+        for length, own, k in reversed(found):
+            v = number[own]
+            to = free[v]
+            free[v] += 1
+            node[to], ids[to], weight[to], rank[to] = v, pieces.ids[k], pieces.weight[pieces.ids[k]], to - edge_start[v]
+            target[to] = np.where(remains[own] == length, -1, number[np.minimum(own + length, n)])
+        v = number[spare]
+        to = free[v]
+        point = raw[spare].astype(np.int64)
         point[point == ord(LITERAL)] = ord(SPACE)
-        self.n_ids[odd] = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
-        self.ids[odd] = -1 - point
-        weight[odd] = self.n_ids[odd] * pieces.weight[pieces.byte_first]
+        sizes = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+        node[to], ids[to], weight[to], rank[to] = v, -1 - point, sizes * pieces.weight[pieces.byte_first], to - edge_start[v]
+        target[to] = np.where(remains[spare] == 1, -1, number[np.minimum(spare + 1, n)])
+        self.ids, self.target = ids, target
+        self.n_ids = np.ones(total, np.int8)
+        self.n_ids[to] = sizes
 
-        edge_start = np.searchsorted(node, np.arange(n + 1))
         level = np.cumsum(np.bincount(remains, minlength=most + 1))  # nodes before each level
         beta = np.zeros(n + 1)  # the last stands for a chunk's end
-        for a, b in zip(level, level[1:], strict=False):
+        for a, b in zip(level[: LEVELS + 1], level[1 : LEVELS + 1], strict=False):
             ea, eb = edge_start[a], edge_start[b]
             value = weight[ea:eb] + beta[self.target[ea:eb]]
             cut = edge_start[a:b] - ea
             top = np.maximum.reduceat(value, cut)
             beta[a:b] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(cut, eb - ea)))), cut))
+        if most > LEVELS:
+            self._sum_singly(beta, weight, edge_start, int(level[LEVELS]))
         self.log_p = weight + beta[self.target] - beta[node]
         p = np.exp(self.log_p)
         cumulative = p.copy()  # added edge by edge, so that it doesn't depend on the other chunks
-        rank = np.arange(len(node)) - edge_start[node]
         for k in range(1, int(rank.max(initial=0)) + 1):
             at = np.flatnonzero(rank == k)
             cumulative[at] += cumulative[at - 1]
         cumulative = np.minimum(cumulative, 1.0)
-        closing = np.append(node[1:] != node[:-1], True)
-        cumulative[closing] = 1.0
+        cumulative[edge_start[1:] - 1] = 1.0
         self.p = p
-        self.single = (edge_start[node + 1] - edge_start[node]) == 1
+        self.single = np.zeros(total, bool)
+        self.single[edge_start[:n][count[:n] == 1]] = True
         self.log_p[self.single] = 0.0
         self.cumulative = cumulative
         self.node = node
         self.edge_start = edge_start
 
+    def _sum_singly(self, beta: np.ndarray, weight: np.ndarray, edge_start: np.ndarray, first: int) -> None:
+        """The backward sums of the nodes from ``first`` on, which are few a level, one by one."""
+        known = beta.tolist()
+        cuts = edge_start[first:].tolist()
+        base = cuts[0]
+        own, target = weight[base:].tolist(), self.target[base:].tolist()
+        for node, a, b in zip(range(first, len(beta) - 1), cuts, cuts[1:], strict=False):
+            values = [own[e] + known[target[e]] for e in range(a - base, b - base)]
+            top = max(values)
+            known[node] = top if len(values) == 1 else top + math.log(math.fsum(math.exp(v - top) for v in values))
+        beta[:] = known
+
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its cumulative probabilities."""
         e = self.edge_start[nodes]
@@ -263,15 +304,34 @@ class Sampler:
         """Completes chunks from their states (-1: nothing to do): (chunk, step, edge) lists."""
         active = np.flatnonzero(state >= 0)
         state, step, out = state[active], step[active], []
-        while len(active):
+        while len(active) > FEW:
             u = _uniform(self.keys[self.text[active]], np.uint64(2 * round_), self.local[active], step)
             edge = self.lattices.draw(state, u)
             out.append((active, step, edge))
             state = self.lattices.target[edge]
             on = state >= 0
             active, state, step = active[on], state[on], step[on] + 1
+        for own, node, at in zip(active.tolist(), state.tolist(), step.tolist(), strict=True):
+            edge = self._walk(own, node, at, round_)
+            out.append((np.full(len(edge), own), at + np.arange(len(edge)), edge))
         return out
 
+    def _walk(self, chunk: int, node: int, step: int, round_: int) -> np.ndarray:
+        """The edges that complete one chunk: the same draws as of many together."""
+        first, cumulative, target = self.lattices.edge_start, self.lattices.cumulative, self.lattices.target
+        key, local, edges = self.keys[[self.text[chunk]]], self.local[[chunk]], []
+        while node >= 0:
+            for u in _uniform(key, np.uint64(2 * round_), local, step + np.arange(WALK)).tolist():
+                e = int(first[node])
+                while u >= cumulative[e]:
+                    e += 1
+                edges.append(e)
+                node = int(target[e])
+                if node < 0:
+                    break
+            step += WALK
+        return np.array(edges, np.int64)
+
     def _path(self, parts: list, value: np.ndarray, has: np.ndarray, round_: int, branch: np.ndarray | None) -> _Path:
         """Puts (chunk, step, edge) parts in order; decisions up to ``branch`` of a text open no set here."""
         counts = np.zeros(len(self.start), np.int64)
@@ -289,14 +349,17 @@ class Sampler:
             if a < b:
                 before[a] = 0.0
                 np.cumsum(log_p[a : b - 1], out=before[a + 1 : b])
-        p = np.where(self.lattices.single[edges], 1.0, np.minimum(self.lattices.p[edges], 1.0))
-        with np.errstate(divide="ignore"):
-            rest = before + np.log1p(-p)
         place = np.arange(len(edges)) - bounds[text]
+        several = ~self.lattices.single[edges]
         if branch is not None:
-            rest = np.where(place <= branch[text], -np.inf, rest)
-        u = _uniform(self.keys[text], np.uint64(2 * round_ + 1), place)
-        return _Path(edges, counts, _truncated(rest, u, value[text]), before, bounds, value, has)
+            several &= place > branch[text]
+        at = np.flatnonzero(several)
+        open_ = np.full(len(edges), -np.inf)
+        with np.errstate(divide="ignore"):
+            rest = before[at] + np.log1p(-np.minimum(self.lattices.p[edges[at]], 1.0))
+        u = _uniform(self.keys[text[at]], np.uint64(2 * round_ + 1), place[at])
+        open_[at] = _truncated(rest, u, value[text[at]])
+        return _Path(edges, counts, open_, before, bounds, value, has)
 
     def sample(self, k: int) -> tuple[list[_Path], np.ndarray]:
         """Paths in the order of their perturbed values, and by text the best value left open (-inf: none)."""
@@ -385,21 +448,29 @@ def _segment_max(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, where
 
 
+def _chunks(text: str) -> list[str]:
+    """The chunks of a text that is not empty, each without the space that it begins with (the first is given one)."""
+    if SPACE in text:
+        text = text.replace(SPACE, LITERAL)
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [c[1:] for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
+
+
 def encode_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
     """(text number, sample from 1, ids, log probability, perturbed value, log inclusion score)."""
     number: dict[str, int] = {}
-    chunk, cuts = [], [0]
+    chunks, cuts = [], [0]
     for text in texts:
         if text:
-            marked = SPACE + (text.replace(SPACE, LITERAL) if SPACE in text else text).replace(" ", SPACE)
-            chunk += [number.setdefault(c, len(number)) for c in _CHUNK.findall(marked)]
-        cuts.append(len(chunk))
-    if not number:
+            chunks += [number.setdefault(c, len(number)) for c in _chunks(text)]
+        cuts.append(len(chunks))
+    if not chunks:
         for t in range(len(texts)):
             yield t, 1, np.empty(0, np.int32), 0.0, 0.0, 0.0
         return
-    lattices = Lattices(list(number), pieces)
-    paths, threshold = Sampler(lattices, np.array(chunk), np.array(cuts), keys).sample(k)
+    lattices = Lattices([SPACE + c for c in number], pieces)
+    paths, threshold = Sampler(lattices, np.array(chunks), np.array(cuts), keys).sample(k)
     for i, path in enumerate(paths):
         values, bounds = _ids(path, lattices, pieces)
         log_p = np.append(path.before + lattices.log_p[path.edges], 0.0)
@@ -437,7 +508,8 @@ def _ids(path: _Path, lattices: Lattices, pieces: Pieces) -> tuple[np.ndarray, n
 
 def decode_ids(ids: np.ndarray, pieces: Pieces) -> bytes:
     """The text's bytes: surfaces joined, without the space that encoding put first."""
-    return b"".join(map(pieces.surface.__getitem__, ids.tolist()))[1:]
+    surface = pieces.surface
+    return b"".join([surface[i] for i in ids.tolist()])[1:]
 
 
 def sample_segmentations(
@@ -468,7 +540,7 @@ def sample_segmentations(
         pieces = shared.value
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            sizes = [len(t.as_py()) // 4 + 1 for t in batch.column(2)]
+            sizes = [(n or 0) // 4 + 1 for n in pc.binary_length(batch.column(2)).to_pylist()]
             at = 0
             while at < len(sizes):
                 end, size = at + 1, sizes[at]
@@ -505,5 +577,5 @@ def _encode_slice(part: pa.RecordBatch, texts: list[str], keys: np.ndarray, piec
 
 
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sample_segmentations(read_table(spark, sf_dir, "documents"), keep=("doc_id",))
+    found = sample_segmentations(read_table(spark, sf_dir, "documents"), model_path=spark.conf.get(SETTING, MODEL), keep=("doc_id",))
     return found.select(F.col("record.doc_id").alias("doc_id"), *found.columns[1:])
