@@ -7,19 +7,22 @@ string of least hash is its anchor; equal windows have equal anchors at the same
 (all windows that can own it) therefore needs to be sorted only with contexts of the same anchor:
 
 - anchors seen once in the corpus cannot lie in a repeat and go;
-- contexts that are equal as a whole are repeats as a whole;
-- contexts that differ but share the anchor are sorted together in bounded chunks.
-
-Anchors with very many different contexts are split by the bytes left and right of them, of which each
-window holds one side, and chunks that are still too large are taken in pairs.
+- contexts that are equal as a whole (by 192 bits) are a class, of which the first and the last are sorted; classes
+  that follow each other in the same two rows are sorted as one stretch. What the sort finds of a class holds for all
+  its members;
+- classes that differ but share the anchor are sorted together.
+
+Anchors with very many different contexts are split by the bytes around them: of a window's REACH bytes beside its
+anchor, l stand on the left and the rest on the right, so contexts that share a window agree for some l of a grid in l
+bytes on the left and all but a grid step of the rest on the right. Grids get finer until groups are small; at the
+finest the groups are those of equal windows. So no group is paired with itself, however hot.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import itertools
-import time
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +31,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, read_table, row_name
 
 SPAN = 200
 GRAM = 100
 REACH = SPAN - GRAM
 #: Bytes of a long text worked on at a time.
 PIECE = 1 << 19
-#: Bytes sorted at a time.
+#: Bytes of a key's contexts that are sorted together at most, and of small groups that are held for one sort.
 CHUNK = 1 << 20
-#: Different contexts of an anchor from which they are split by their sides.
-MANY = 2000
+HELD = 1 << 18
+#: Bytes of a stretch sorted at a time; pieces overlap, so that no window is cut.
+STRETCH = 1 << 16
+#: Bytes handed over at a time, about.
+BATCH = 1 << 23
+#: Bytes of a key's contexts beyond which they are split by the bytes around, and the grids of the splits.
+MOST = CHUNK
+GRIDS = (50, 10)
 
 _TABLE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEPS = {k: np.uint64(0x9E3779B97F4A7C15 + 2 * k) for k in (1, 2, 4, 8, 16, 32, 64, 128)}
@@ -157,12 +166,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-ROW = "r1 long, r2 int"
-
-
-def _row_id(id_col: str, text_col: str) -> list:
-    """96 bits that name a row by id and text, null or not; rows that agree in both repeat each other."""
-    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("r1"), F.hash(F.col(id_col), F.col(text_col)).alias("r2")]
+ROW = "r1 long, r2 long"
 
 
 def _bytes(value: pa.Scalar) -> np.ndarray:
@@ -183,49 +187,130 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             start, end = np.maximum(place - REACH, 0), np.minimum(place + SPAN, len(text))
             raw = memoryview(text)
             contexts += [
-                xxhash.xxh64_intdigest(raw[a:b], left) for a, b, left in zip(start.tolist(), end.tolist(), (place - start).tolist(), strict=True)
+                xxhash.xxh3_128_digest(raw[a:b], left) for a, b, left in zip(start.tolist(), end.tolist(), (place - start).tolist(), strict=True)
             ]
             places.append(place)
             hashes.append(own)
             lengths.append(end - start)
         none = np.empty(0, np.int64)
         place = np.concatenate(places) if places else none
+        digest = np.frombuffer(b"".join(contexts), "<i8").reshape(-1, 2)
+        start = np.maximum(place - REACH, 0)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array((np.concatenate(hashes) if hashes else none.astype(np.uint64)).view(np.int64)),
-                pa.array(np.array(contexts, np.uint64).view(np.int64)),
+                pa.array(digest[:, 0].copy()),
+                pa.array(digest[:, 1].copy()),
                 pa.array(np.repeat(r1, counts)),
                 pa.array(np.repeat(r2, counts)),
-                pa.array(np.maximum(place - REACH, 0).astype(np.int32)),
-                pa.array((place - np.maximum(place - REACH, 0)).astype(np.int32)),
+                pa.array(start.astype(np.int32)),
+                pa.array((place - start).astype(np.int32)),
                 pa.array((np.concatenate(lengths) if lengths else none).astype(np.int32)),
             ],
-            ["a", "c", "r1", "r2", "start", "left_", "length"],
+            ["a", "c1", "c2", "r1", "r2", "start", "left_", "length"],
         )
 
 
-def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate rows (r1, r2, text, marks) -> contexts to be sorted with those of the same key."""
-    half = REACH // 2
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def _stretches(row: tuple[int, int], pairs: list[dict]) -> Iterator[tuple[bytes, int, int, bool]]:
+    """(name, start, end, lead) of the stretches of a row that lie in another row (or elsewhere in this one) at a
+    fixed distance: classes whose first and last members these are, one behind the other. Both rows tell the
+    same names."""
+    by: dict[tuple, list[tuple[int, int]]] = {}
+    for p in pairs:
+        by.setdefault((p["o1"], p["o2"], p["ostart"] - p["start"], p["lead"]), []).append((p["start"], p["start"] + p["length"]))
+    for (o1, o2, shift, lead), own in by.items():
+        for start, end in merged(own):
+            first = (*row, o1, o2, shift, start) if lead else (o1, o2, *row, -shift, start + shift)
+            yield struct.pack("<6q", *first), start, end, lead
+
+
+COLUMNS = {"key": pa.int64(), "r1": pa.int64(), "r2": pa.int64(), "start": pa.int32(), "left_": pa.int32(), "context": pa.binary(), "alone": pa.bool_(), "pair": pa.bool_()}
+CONTEXTS = "key long, r1 long, r2 long, start int, left_ int, context binary, alone boolean, pair boolean"
+
+
+def _pack(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(COLUMNS.values())], list(COLUMNS))
+
+
+def _pieces(start: int, end: int, stretch: int) -> Iterator[tuple[int, int]]:
+    """Parts of a segment that hold all its windows."""
+    for at in range(start, max(start + 1, end - SPAN + 1), stretch):
+        yield at, min(end, at + stretch + SPAN - 1)
+
+
+def _emit_contexts(stretch: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (r1, r2, text, pairs, marks) -> stretches and contexts, to be sorted with those of the same key. A row's
+        contexts of one anchor that overlap are one segment (the anchor comes again and again in periodic text)."""
+        for batch in batches:
+            out, size = [], 0
+            for r1, r2, value, pairs, marks in zip(*(batch.column(k) for k in range(5)), strict=True):
+                text, row, n = _bytes(value).tobytes(), (r1.as_py(), r2.as_py()), len(out)
+                for name, start, end, lead in _stretches(row, pairs.as_py() or []):
+                    for a, b in _pieces(start, end, stretch):
+                        out.append((_signed(xxhash.xxh64_intdigest(name, a - start)), *row, a, 0, text[a:b], lead, True))
+                by: dict[int, list[dict]] = {}
+                for m in marks.as_py() or ():
+                    by.setdefault(m["a"], []).append(m)
+                for key, own in by.items():
+                    at = own[0]["start"] + own[0]["left_"]
+                    gram, alone = text[at : at + GRAM], any(m["alone"] for m in own)
+                    for start, end in merged([(m["start"], m["start"] + m["length"]) for m in own]):
+                        for a, b in _pieces(start, end, stretch):
+                            if (left := text.find(gram, a, b)) >= 0:
+                                out.append((key, *row, a, left - a, text[a:b], alone, False))
+                size += sum(len(o[5]) for o in out[n:])
+                if size > BATCH:
+                    yield _pack(out)
+                    out, size = [], 0
+            yield _pack(out)
+
+    return emit
+
+
+def _finer(grid: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments, each place of their anchor under a key for every l of the grid (see above)."""
+        for batch in batches:
+            out, size = [], 0
+            for _, r1, r2, start, left, segment, alone, pair in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gram, at, by = segment[left : left + GRAM], left, {}
+                while at >= 0:
+                    for l in range(0, REACH, grid):  # noqa: E741
+                        end = at + GRAM + REACH - l - grid
+                        if l <= at and end <= len(segment):
+                            key = _signed(xxhash.xxh64_intdigest(segment[at - l : end], l))
+                            by.setdefault(key, []).append((max(0, at - REACH), min(len(segment), at + SPAN)))
+                    at = segment.find(gram, at + 1)
+                for key, own in by.items():
+                    for a, b in merged(own):
+                        out.append((key, r1, r2, start + a, segment.find(gram, a) - a, segment[a:b], alone, pair))
+                        size += b - a
+                if size > BATCH:
+                    yield _pack(out)
+                    out, size = [], 0
+            yield _pack(out)
+
+    return split
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments (r1, r2, start, segment, alone) -> their different windows, with all places: (window, r1, r2, starts, alone)."""
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_())
     for batch in batches:
-        out: list[tuple] = []
-        for r1, r2, value, marks in zip(*(batch.column(k) for k in range(4)), strict=True):
-            text, row = memoryview(_bytes(value)), (r1.as_py(), r2.as_py())
-            for m in marks.as_py() or ():
-                a, start, left, length = m["a"], m["start"], m["left_"], m["length"]
-                context = bytes(text[start : start + length])
-                if not m["many"]:
-                    out.append((a, *row, start, context, m["alone"]))
-                    continue
-                if left >= half:
-                    key = xxhash.xxh64_intdigest(context[left - half : left], a & (1 << 63) - 1)
-                    out.append((int(np.uint64(key).astype(np.int64)), *row, start, context, m["alone"]))
-                if length - left - GRAM >= half:
-                    key = xxhash.xxh64_intdigest(context[left + GRAM : left + GRAM + half], (a ^ 1 << 62) & (1 << 63) - 1)
-                    out.append((int(np.uint64(key).astype(np.int64)), *row, start, context, m["alone"]))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-        columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "r1", "r2", "start", "context", "alone"])
+        out = []
+        for k, (r1, r2, start, segment, alone) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True), 1):
+            places: dict[bytes, list[int]] = {}
+            for i in range(len(segment) - SPAN + 1):
+                places.setdefault(segment[i : i + SPAN], []).append(start + i)
+            out += [(window, r1, r2, starts, alone) for window, starts in places.items()]
+            if len(out) * SPAN > BATCH or k == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["window", "r1", "r2", "starts", "alone"])
+                out = []
 
 
 def _sorted_repeats(items: list[tuple]) -> list[tuple]:
@@ -249,48 +334,51 @@ def _sorted_repeats(items: list[tuple]) -> list[tuple]:
     return out
 
 
+SPANS = f"{ROW}, start int, end int"
+
+
 def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CONTEXTS in the order of their keys -> repeated strings. Small groups are sorted together: what repeats
+    over groups repeats as well."""
+
     def pack(found: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["r1", "r2", "start", "end"])
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in ("key", "r1", "r2", "start", "context", "alone")), strict=True)
 
     held: list[tuple] = []
     size = 0
     for _, group in itertools.groupby(rows(), key=lambda r: r[0]):
-        parts: list[list[tuple]] = [[]]
-        part_size = 0
-        for r in group:
-            if part_size > CHUNK // 2:
-                parts.append([])
-                part_size = 0
-            parts[-1].append(r[1:])
-            part_size += len(r[4])
-        if len(parts) > 1:  # too large at once: every pair of parts is sorted together
-            for one, other in itertools.combinations(parts, 2):
-                yield pack(_sorted_repeats(one + other))
-            continue
-        if len(parts[0]) < 2:
+        own = [r[1:] for r in group]
+        if len(own) < 2 and len(own[0][3]) <= SPAN:
             continue
-        held += parts[0]
-        size += part_size
-        if size > CHUNK // 2:
+        held += own
+        size += sum(len(r[3]) for r in own)
+        if size > HELD:
             yield pack(_sorted_repeats(held))
             held, size = [], 0
     if held:
         yield pack(_sorted_repeats(held))
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(r1, r2, spans) -> the same with maximal runs."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        runs = [[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in own])] for own in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(runs, kind)], ["r1", "r2", "spans"])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(r1, r2, text, spans, more) -> what is left of the text."""
+    """(r1, r2, text, spans) -> what is left of the text."""
     for batch in batches:
         out = []
-        for value, spans, more in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+        for value, spans in zip(batch.column(2), batch.column(3), strict=True):
             text = _bytes(value).tobytes()
-            runs = merged([(s["start"], s["end"]) for s in [*(spans.as_py() or ()), *(more.as_py() or ())]])
+            runs = merged([(s["start"], min(s["end"], len(text))) for s in spans.as_py()])
             edges = [0, *itertools.chain.from_iterable(runs), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             out.append((len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
@@ -298,86 +386,85 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["r1", "r2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Spark removes the shuffle files of plans that nothing refers to once the driver collects its garbage,
-    which may be long after a large step; this asks for it. The first round lets go of Python's references,
-    the second finds what they kept alive."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def _found(routed: DataFrame, scratch: Scratch) -> DataFrame:
+    """SPANS of the repeated strings among CONTEXTS, hot keys split until every group is small."""
+    now, small, spans = routed, [], None
+    for split in (*map(_finer, GRIDS), None):
+        hot = scratch.save(now.where("NOT pair").groupBy("key").agg(F.sum(F.length("context")).alias("n")).where(F.col("n") > MOST).select("key"))
+        if hot.isEmpty():
+            break
+        small.append(now.join(hot, "key", "left_anti"))
+        rest, now = now.join(hot, "key", "left_semi"), None
+        if split is not None:
+            now = scratch.save(rest.select(*COLUMNS).mapInArrow(split, CONTEXTS))
+            continue
+        once = rest.select("r1", "r2", "start", "context", "alone").distinct()
+        every = scratch.save(once.mapInArrow(_windows, f"window binary, {ROW}, starts array<int>, alone boolean"))
+        # windows by their bytes: (places that two segments of a row share count once)
+        places = every.groupBy("window", "r1", "r2").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"), F.bool_or("alone").alias("alone"))
+        often = places.groupBy("window").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("window")
+        spans = places.where("alone").join(often, "window", "left_semi").select("r1", "r2", F.explode("starts").alias("start"))
+        spans = spans.select("r1", "r2", "start", (F.col("start") + SPAN).alias("end"))
+    if now is not None:
+        small.append(now)
+    every = small[0]
+    for more in small[1:]:
+        every = every.unionByName(more)
+    ordered = every.repartition("key").sortWithinPartitions("key", "r1", "r2", "start")
+    found = ordered.select("key", "r1", "r2", "start", "context", "alone").mapInArrow(_sort_contexts, SPANS)
+    return found if spans is None else found.unionByName(spans)
 
 
 def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(r1, r2, n_removed, n_spans, kept_sha256, kept) for the rows that hold a repeat, by ``_row_id``."""
-    rows = docs.select(*_row_id(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
-    long_rows = rows.where(F.length("text") >= SPAN)
-    schema = f"a long, c long, {ROW}, start int, left_ int, length int"
-    every = scratch.save(long_rows.mapInArrow(_emit_anchors, schema))
+    """(r1, r2, n_removed, n_spans, kept_sha256, kept) for the rows that hold a repeat, by ``row_name``; one row each."""
+    row = ["r1", "r2"]
+    rows = docs.select(*row_name(id_col, text_col), F.col(text_col).cast("binary").alias("text")).where(F.length("text") >= SPAN)
+    again = scratch.save(rows.groupBy(*row).count().where("count > 1").select(*row))  # rows that repeat as a whole
+    if not again.isEmpty():
+        once = rows.join(again, row, "left_semi").dropDuplicates(row)
+        rows = rows.join(again, row, "left_anti").unionByName(once)
+    every = scratch.save(rows.mapInArrow(_emit_anchors, f"a long, c1 long, c2 long, {ROW}, start int, left_ int, length int"))
     # (stored, so that both sides of the join are plain exchanges, which adaptive execution can split at a hot anchor)
     often = scratch.save(every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     shared = scratch.save(every.join(often, "a", "left_semi"))
-    scratch.drop(every)
-    scratch.drop(often)
-    del every, often
-    _release(docs.sparkSession)
-
-    contexts = scratch.save(
-        shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "start", "left_", "length")).alias("first"))
+    scratch.drop(every, often)
+
+    member = F.struct("r1", "r2", "start", "left_", "length")
+    classes = scratch.save(shared.groupBy("a", "c1", "c2").agg(F.count("*").alias("n"), F.min(member).alias("first"), F.max(member).alias("last")))
+    kinds = scratch.save(classes.groupBy(F.col("a").alias("anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    side = lambda own, other, lead: F.struct(
+        f"{own}.r1",
+        f"{own}.r2",
+        F.struct(f"{own}.start", f"{own}.length", F.col(f"{other}.r1").alias("o1"), F.col(f"{other}.r2").alias("o2"), F.col(f"{other}.start").alias("ostart"), F.lit(lead).alias("lead")).alias("pair"),
     )
-    equal = shared.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select(
-        "r1", "r2", F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span")
+    pairs = classes.where("n > 1").select(F.explode(F.array(side("first", "last", True), side("last", "first", False))).alias("s")).select("s.*")
+    marks = classes.join(kinds, F.col("a") == F.col("anchor")).select(
+        "first.r1", "first.r2", F.struct("a", "first.start", "first.left_", "first.length", (F.col("n") == 1).alias("alone")).alias("mark")
     )
-    kinds = scratch.save(contexts.groupBy(F.col("a").alias("anchor")).agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    mark = contexts.join(kinds, F.col("a") == F.col("anchor")).select(
-        "first.r1",
-        "first.r2",
-        F.struct("a", "first.start", "first.left_", "first.length", (F.col("n") == 1).alias("alone"), (F.col("kinds") > MANY).alias("many")).alias("mark"),
-    )
-    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
-    found = equal.select("r1", "r2", "span", none(mark, "mark")).unionByName(mark.select("r1", "r2", none(equal, "span"), "mark"))
-    # lists within a row are bounded by its own text; stored, so that nothing else is on disk while texts are shuffled
-    per_row = scratch.save(
-        found.groupBy(F.col("r1").alias("k1"), F.col("r2").alias("k2")).agg(
-            F.collect_list("span").alias("spans"), F.collect_list("mark").alias("marks")
-        )
-    )
-    scratch.drop(shared)
-    scratch.drop(contexts)
+    told = pairs.unionByName(marks, allowMissingColumns=True)
+    # a row has one pair or mark a place and side at most: lists are bounded by its own text
+    per_row = scratch.save(told.groupBy(*row).agg(F.collect_list("pair").alias("pairs"), F.collect_list("mark").alias("marks")))
     scratch.drop(kinds)
-    del shared, contexts, kinds, equal, mark, found
-    _release(docs.sparkSession)
-    candidates = scratch.save(
-        long_rows.join(per_row, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2"))).select("r1", "r2", "text", "spans", "marks")
-    )
+    chosen = rows.join(per_row, row).select(*row, "text", "pairs", "marks")
+    routed = scratch.save(chosen.mapInArrow(_emit_contexts(STRETCH), CONTEXTS))
     scratch.drop(per_row)
-    del per_row
-    _release(docs.sparkSession)
-
-    routed = (
-        candidates.where(F.size("marks") > 0)
-        .select("r1", "r2", "text", "marks")
-        .mapInArrow(_emit_contexts, f"key long, {ROW}, start int, context binary, alone boolean")
-    )
-    more = (
-        routed.repartition("key")
-        .sortWithinPartitions("key", "r1", "r2", "start")
-        .mapInArrow(_sort_contexts, f"{ROW}, start int, end int")
-        .groupBy(F.col("r1").alias("k1"), F.col("r2").alias("k2"))
-        .agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    )
-    more = scratch.save(more)
-    hit = (
-        candidates.drop("marks")
-        .join(more, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2")), "left")
-        .where((F.size("spans") > 0) | F.col("more").isNotNull())
-        .select("r1", "r2", "text", "spans", "more")
-    )
-    gone = scratch.save(hit.mapInArrow(_remove, f"{ROW}, n_removed long, n_spans long, kept_sha256 string, kept string"))
-    scratch.drop(candidates)
-    scratch.drop(more)
-    del candidates, routed, more, hit
-    _release(docs.sparkSession)
+    found = scratch.save(_found(routed, scratch))
+    scratch.drop(routed)
+
+    # a class repeats where the sort found all of its first member
+    runs = found.groupBy(*row).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    runs = scratch.save(runs.mapInArrow(_merge_spans, f"{ROW}, spans array<struct<start:int,end:int>>"))
+    heads = classes.where("n > 1").select("a", "c1", "c2", "first.r1", "first.r2", "first.start", "first.length").join(runs, row)
+    inside = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("start") + F.col("length")))
+    sure = scratch.save(heads.where(inside).select("a", "c1", "c2"))
+    scratch.drop(classes)
+    equal = shared.join(sure, ["a", "c1", "c2"], "left_semi").select(*row, F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"))
+    whole = again.select(*row, F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("end")).alias("span"))
+    every_span = equal.unionByName(runs.select(*row, F.explode("spans").alias("span"))).unionByName(whole)
+    spans = scratch.save(every_span.groupBy(*row).agg(F.collect_list("span").alias("spans")).mapInArrow(_merge_spans, f"{ROW}, spans array<struct<start:int,end:int>>"))
+    scratch.drop(shared, sure, runs, found)
+    gone = scratch.save(rows.join(spans, row).select(*row, "text", "spans").mapInArrow(_remove, f"{ROW}, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    scratch.drop(spans, again)
     return gone
 
 
@@ -385,14 +472,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scrat
     """``docs`` in a struct column ``record`` (so no name can clash), with n_bytes, n_removed, n_spans,
     kept_sha256 and ``kept``, the text left (null: all of it; characters cut at the edge of a removed run go
     from it, the digest covers all bytes left). Null texts count as empty, texts under
-    SPAN bytes hold no repeat, repeated rows repeat each other; an empty table gives an empty table."""
+    SPAN bytes hold no repeat, rows equal in id and text repeat each other as a whole and are worked on once; a long
+    text is worked on in pieces; an empty table gives an empty table."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    # repeated rows have one row id and the same result
-    gone = removals(docs, scratch, id_col, text_col).dropDuplicates(["r1", "r2"])
+    gone = removals(docs, scratch, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     mine = docs.select(
         F.struct("*").alias("record"),
-        *_row_id(id_col, text_col),
+        *row_name(id_col, text_col),
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.sha2(text, 256).alias("sha"),
     )

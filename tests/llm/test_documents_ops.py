@@ -276,22 +276,81 @@ def test_anchors_are_shared_by_equal_windows():
     assert at[0] & at[1] & at[2]
 
 
-def test_split_contexts_and_paired_chunks(spark, monkeypatch):
+def n_removed(texts):
+    """Bytes covered by a repeated string, by the digests of all of them."""
+    seen = Counter(xxhash.xxh3_128_intdigest(t[i : i + 200]) for t in texts for i in range(len(t) - 199))
+    for t in texts:
+        upto = total = 0
+        for i in range(len(t) - 199):
+            if seen[xxhash.xxh3_128_intdigest(t[i : i + 200])] > 1:
+                total += i + 200 - max(upto, i)
+                upto = i + 200
+        yield total
+
+
+def passages(spark, texts, **kw):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.id: r.n for r in suffix_dedup.dedup(df, **kw).selectExpr("record.doc_id AS id", "n_removed AS n").collect()}
+
+
+def letters(rng, alphabet, n):
+    return "".join(rng.choices(alphabet, k=n))
+
+
+@pytest.mark.parametrize("most", [1 << 20, 6000, 600])
+@pytest.mark.parametrize("core", [150, 195, 230])
+def test_hot_anchors_are_split_without_loss(spark, monkeypatch, most, core):
+    """Rows that share a core shorter or longer than a repeat, at several cuts, so that contexts differ on both sides."""
+    import random
+
+    rng = random.Random(core)
+    passage = letters(rng, "abcdef", core)
+    texts = []
+    for i in range(80):
+        own = passage[(i % 4) * (core > 200) * 9 :]
+        texts.append(letters(rng, "uvwxyz", rng.randint(0, 250)) + own + letters(rng, "uvwxyz", rng.randint(0, 200)))
+    texts += [texts[5][20:], texts[6] + "tail"]
+    texts += ["the " * 90 + texts[7][:40] + "the " * 120, texts[8][:30] + "the " * 100 + "end", "he the " * 40 + "a " * 300]
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    assert passages(spark, texts) == dict(enumerate(n_removed([t.encode() for t in texts])))
+
+
+def test_a_core_shared_by_very_many_rows(spark):
     import random
+    import time
 
-    rng = random.Random(4)
-    passage = "".join(rng.choice("abcdef") for _ in range(230))
-    rows = [(i, "".join(rng.choice("uvwxyz") for _ in range(rng.randint(150, 400))) + passage[i % 20 :] + "".join(rng.choice("uvwxyz") for _ in range(200)), "en", "s", 0, 0, "", "", 0) for i in range(60)]
-    docs = [r[1].encode() for r in rows]
-    wanted = {i: int(g.sum()) for i, g in enumerate(covered(docs))}
-    for many, chunk in ((2000, 1 << 20), (2, 1 << 20), (2000, 4000)):
-        monkeypatch.setattr(suffix_dedup, "MANY", many)
-        found = suffix_dedup.dedup(frame(spark, rows))
-        if chunk == 1 << 20:
-            assert {r.id: r.n for r in found.selectExpr("record.doc_id AS id", "n_removed AS n").collect()} == wanted
-    items = [(1, 1, 0, docs[0][100:400], True), (2, 1, 0, docs[20][100:400], True)]
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 2000)
-    assert isinstance(suffix_dedup._sorted_repeats(items), list)
+    rng = random.Random(9)
+    core = letters(rng, "abcdef", 150)
+    texts = [letters(rng, "uvwxyz", 55) + core + letters(rng, "uvwxyz", 55) for _ in range(20_000)]
+    texts += [texts[0], texts[1][:230], texts[2][10:]]
+    began = time.time()
+    assert passages(spark, texts) == dict(enumerate(n_removed([t.encode() for t in texts])))
+    assert time.time() - began < 240
+
+
+def test_a_row_repeated_very_often(spark):
+    import random
+
+    rng = random.Random(10)
+    line = letters(rng, "abcdefgh", 700)
+    other = letters(rng, "ijkl", 100) + line[50:400] + letters(rng, "mnop", 100)
+    rows = [(1, line)] * 10_000 + [(2, other), (3, letters(rng, "qrst", 400)), (4, "short"), (4, "short")]
+    found = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = Counter((r.record.doc_id, r.n_removed, r.n_spans, r.kept) for r in found.collect())
+    assert got == {(1, 700, 1, ""): 10_000, (2, 350, 1, other[:100] + other[450:]): 1, (3, 0, 0, None): 1, (4, 0, 0, None): 2}
+
+
+def test_texts_of_several_pieces(spark):
+    """Texts of over a megabyte, with a stretch of 300 KB in common that crosses a piece's edge, and one within a text."""
+    import random
+
+    rng = random.Random(11)
+    shared = letters(rng, "abcdefgh", 300_000)
+    a = letters(rng, "ijklmnop", 400_000) + shared + letters(rng, "ijklmnop", 500_000)
+    b = letters(rng, "qrstuvwx", 100) + shared + letters(rng, "qrstuvwx", 10_000)
+    b += b[-5000:-4000] + "." + letters(rng, "qrstuvwx", 1000)
+    texts = [a, b, "z" * 3000, "no " * 100_000]
+    assert passages(spark, texts) == dict(enumerate(n_removed([t.encode() for t in texts])))
 
 
 def test_language_id(spark, awkward):
@@ -318,6 +377,61 @@ def test_language_grams_of_chunks(monkeypatch):
     assert Counter(int(k) for g in langid.grams(text) for k in g) == whole
 
 
+def plain_bayes(rows):
+    """Naive Bayes over hashed runs in plain Python: rows (text, lang) -> a function text -> (lang, posterior)."""
+    import math
+
+    full = (1 << 32) - 1
+
+    def runs(text):
+        low = " " + text.lower() + " "
+        for i in range(len(low) - 1):
+            two = (ord(low[i]) * 0x9E3779B1 & full) ^ (ord(low[i + 1]) * 0x85EBCA77 & full)
+            yield ((two ^ (two >> 15)) * 0x165667B1 & full) >> 17
+            if i + 2 < len(low):
+                three = (two * 0xC2B2AE3D & full) ^ (ord(low[i + 2]) * 0x27D4EB2F & full)
+                yield ((three ^ (three >> 15)) * 0x9E3779B1 & full) >> 17
+
+    counts, docs = {}, Counter()
+    for text, lang in rows:
+        docs[lang] += 1
+        counts.setdefault(lang, Counter()).update(runs(text))
+
+    def predict(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        total = {}
+        for lang, own in counts.items():
+            n = sum(own.values())
+            total[lang] = math.log(docs[lang] / sum(docs.values())) + math.fsum(math.log((own[r] + 0.5) / (n + 0.5 * (1 << 15))) for r in runs(text))
+        best = min(total, key=lambda x: (-total[x], x))
+        return best, 1 / math.fsum(math.exp(max(v - total[best], -700)) for v in total.values())
+
+    return predict
+
+
+@pytest.mark.parametrize("at_once", [512, 1])
+def test_language_id_equals_plain_bayes(spark, awkward, sf, monkeypatch, at_once):
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", at_once)
+    for folder in (awkward, sf):
+        docs = [r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+        held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 4 == 2
+        predict = plain_bayes([(r.text, r.lang) for r in docs if r.text is not None and r.lang is not None and not held(r.doc_id)])
+        wanted = Counter((r.doc_id, held(r.doc_id), predict(r.text)[0], round(predict(r.text)[1], 9)) for r in docs)
+        got = queries.QUERIES["op8_language_id"](spark, folder).collect()
+        assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in got) == wanted
+
+
+def test_language_scores_do_not_depend_on_the_batch(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)), np.zeros(3))
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in (0, 1, 2, 500, 3, 900, 40)]
+    together = model.totals(texts)
+    assert (together == np.concatenate([model.totals([t]) for t in texts])).all()
+    monkeypatch.setattr(langid, "CHUNK", 100)  # some share a slice, some are cut
+    assert np.allclose(model.totals(texts), together)
+
+
 def test_mixing(spark, awkward):
     rows = queries.QUERIES["op9_mixing"](spark, awkward).collect()
     docs = documents()
@@ -349,6 +463,25 @@ def test_mixing(spark, awkward):
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
 
 
+def test_mixing_leaves_out_only_what_does_not_fit(spark, tmp_path):
+    """Sizes that leave a rest at every threshold: the walk by hash goes on until nothing fits."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * min(5000, int(1.3 ** rng.randint(0, 32)))), "en", f"s{i % 3}", 0, 0, "", "", 0) for i in range(400)]
+    sf = table_dir(spark, tmp_path / "m", rows=rows)
+    got = queries.QUERIES["op9_mixing"](spark, sf)
+    same(got, connect(sf), queries.ORACLE_SQL["op9_mixing"])
+    source = {r[0]: r[3] for r in rows}
+    by: dict = {}
+    for r in got.collect():
+        by.setdefault(source[r.doc_id], []).append(r)
+    for own in by.values():
+        least = min(r.taken // r.size for r in own)
+        left = own[0].target - sum(r.taken for r in own)
+        assert 0 <= left and all(r.size > left for r in own if r.taken // r.size == least and least < 3)
+
+
 def test_mixed_documents_keep_columns(spark):
     df = frame(spark)
     mixed = mixing.mixed_documents(df)
@@ -410,6 +543,55 @@ def test_crf_gradient_equals_differences():
     assert np.allclose(quality._gradient(theta, X, on, y), numeric, atol=1e-3)
 
 
+def plain_quality(text, field):
+    """The score by sums over all labellings, two lines at a time, in plain Python."""
+    import math
+
+    lines = [x for x in (text or "").encode().split(b"\n") if x.split()]
+    if not lines:
+        return 0.0
+    own = []
+    for k, line in enumerate(lines):
+        words, n = line.split(), len(line)
+        count = lambda keep: sum(keep(c) for c in line)  # noqa: B023, E731
+        letters, upper = count(lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128), count(lambda c: 65 <= c <= 90)
+        symbols = count(lambda c: 33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:'\"?-()")
+        digits, again = count(lambda c: 48 <= c <= 57), sum(a == b for a, b in zip(words, words[1:]))
+        own.append([min(math.log1p(n) / 8, 2.0), letters / n, digits / n, symbols / n, min(symbols / len(words), 2.0), upper / max(letters, 1)])
+        own[-1] += [again / len(words), len(set(words)) / len(words), min(n / len(words) / 10, 3.0), float(line in lines[:k])]
+    none = [0.0] * len(own[0])
+    u = []
+    for k in range(len(own)):
+        x = [1.0, *own[k], *(own[k - 1] if k else none), *(own[k + 1] if k + 1 < len(own) else none), float(k == 0), float(k == len(own) - 1)]
+        u.append(math.fsum(a * b for a, b in zip(x, field.weights, strict=True)))
+    stay = lambda a, b: math.exp(field.stay[a]) if a == b else 1.0
+    ahead = [[1.0, math.exp(u[0])]]
+    for v in u[1:]:
+        step = [sum(ahead[-1][a] * stay(a, b) for a in (0, 1)) * (math.exp(v) if b else 1.0) for b in (0, 1)]
+        ahead.append([s / sum(step) for s in step])
+    back = [[1.0, 1.0]]
+    for v in u[:0:-1]:
+        step = [sum(stay(a, b) * (math.exp(v) if b else 1.0) * back[0][b] for b in (0, 1)) for a in (0, 1)]
+        back.insert(0, [s / sum(step) for s in step])
+    good = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(ahead, back, strict=True)]
+    return math.fsum(g * len(x) for g, x in zip(good, lines, strict=True)) / sum(map(len, lines))
+
+
+def test_quality_equals_plain_forward_backward(spark, awkward):
+    for folder in (awkward, "/root/testdata/sf0.001"):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        field = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+        wanted = Counter((r.doc_id, round(plain_quality(r.text, field), 7)) for r in docs.collect())
+        assert Counter((r.doc_id, round(r.score, 7)) for r in queries.QUERIES["op10_quality"](spark, folder).collect()) == wanted
+
+
+def test_training_takes_a_bounded_number_of_lines():
+    x = np.arange(2000.0)[:, None]
+    kept = quality._some_chains(x)[:, 0]
+    assert len(kept) <= quality.CHAINS * quality.CHAIN and kept[0] == 0 and kept[-1] == 1999
+    assert (quality._some_chains(x[:500]) == x[:500]).all()
+
+
 def test_piece_sampling(spark, awkward):
     rows = queries.QUERIES["op3_piece_sampling"](spark, awkward).collect()
     docs = documents()
