@@ -162,3 +162,36 @@ def path_depth(path: Column) -> Column:
 
 def fingerprint(*columns: str, digits: int = 16) -> Column:
     return F.left(F.sha2(F.to_json(F.struct(*columns)), 256), F.lit(digits))
+
+
+# Fixed values: (pattern in the instruction, operations that meet it, texts in a payload that meet it, what is missing).
+INTENTS = (
+    (r"\b(cheapest|lowest price|lowest cost|minimum price|least expensive)\b", ("ARGMIN", "MIN"), ("min(", "order by"), "optimization(min)"),
+    (r"\b(most expensive|highest price|maximum|largest|highest)\b", ("ARGMAX", "MAX"), ("max(",), "optimization(max)"),
+    (r"\b(send|email|e-?mail)\b", ("SEND",), (), "send"),
+    (r"\btranslate\b", ("TRANSLATE",), ("translate",), "translate"),
+    (r"\bsummar(ize|y|ise)\b", ("SUMMARIZE",), ("summar",), "summarize"),
+    (r"\bsort(ed|ing)?\b", ("SORT",), ("order by",), "sort"),
+    (r"\b(how many|count the|number of)\b", ("COUNT", "SUM"), ("count(",), "count"),
+    (r"\b(average|mean of|avg)\b", ("AVG", "CALCULATE"), ("avg(", "average("), "average"),
+)
+
+
+def missing_constraints(instruction: Column, ops: Column, payload: Column | None = None) -> Column:
+    """What an instruction asks for in words and a plan (its operations, and a payload such as SQL) does not do."""
+    low, data = F.lower(F.coalesce(instruction, F.lit(""))), F.lower(F.coalesce(payload if payload is not None else F.lit(""), F.lit("")))
+    found = []
+    for pattern, equal, texts, name in INTENTS:
+        met = F.coalesce(F.arrays_overlap(ops, F.array(*[F.lit(o) for o in equal])), F.lit(False))
+        for text in texts:
+            met = met | F.contains(data, F.lit(text))
+        found.append(F.when(low.rlike(pattern) & ~met, F.lit(f"MISSING_CONSTRAINT:{name}")))
+    return F.array_compact(F.array(*found))
+
+
+def accepted(value: Column, alternatives: Column) -> Column:
+    """Whether a value (text, null: not given) is one of the accepted ones: equal once standardized or as numbers; an empty
+    text among them makes the value optional."""
+    number = lambda c: c.try_cast("double")
+    equal = F.exists(alternatives, lambda a: (standardize(a) == standardize(value)) | F.coalesce(number(a) == number(value), F.lit(False)))
+    return F.when(value.isNull(), F.array_contains(alternatives, "")).otherwise(F.coalesce(equal, F.lit(False)))

@@ -174,9 +174,12 @@ def prioritized(df: DataFrame, by: list[str], priority: Column, tiebreak: list[s
 
 
 def manifest(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows and an order-free sha256 fingerprint of each group: of the sum and xor of the row hashes."""
-    row = F.xxhash64(*[c for c in df.columns])
-    return df.groupBy(*by).agg(
+    """Rows and an order-free sha256 fingerprint of each group: of the sum and xor of 60 bits of each row's md5. A row counts
+    as its values' texts, each with its length before it, null or not."""
+    text = lambda c: F.col(c).cast("string")
+    parts = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("null")) for c in df.columns]
+    told = df.select(*by, F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long").alias("_h"))
+    return told.groupBy(*by).agg(
         F.count("*").cast("long").alias("n"),
-        F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string"), F.bit_xor(row).cast("string")), 256).alias("sha256"),
+        F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(F.col("_h").cast("decimal(38,0)")).cast("string"), F.bit_xor("_h").cast("string")), 256).alias("sha256"),
     )

@@ -1,8 +1,8 @@
 """Analytics over execution plans: many small graphs in two tables.
 
-nodes: (program_id, node, op, ...), edges: (program_id, src, dst, kind). Reachability and longest paths run as
-frontier loops over all programs at once; a program is small, so rounds are few, and each round is written to
-the shared folder so that the plan does not grow.
+nodes: (program_id, node, op, ...), edges: (program_id, src, dst, kind). Programs of up to ``SMALL`` edges are each
+solved in one go, many to an Arrow batch. Larger ones run as frontier loops over all of them at once, until nothing
+changes, and each round is written to the shared folder so that the plan does not grow.
 """
 
 from __future__ import annotations
@@ -15,25 +15,64 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch
 
-MAX_ROUNDS = 1000
+#: Edges of a program that is solved in one go.
+SMALL = 100_000
+
+
+def _by_size(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(program_id) of the programs of more than SMALL edges; None if there is none."""
+    large = scratch.save(edges.groupBy("program_id").count().where(F.col("count") > SMALL).select("program_id"))
+    return None if large.isEmpty() else large
+
+
+def _longest(own: list[dict]) -> list[tuple]:
+    """(node, length) of the nodes that are on no cycle and behind none."""
+    weight = {n["node"]: n["w"] for n in own}
+    ins = {n["node"]: [(i["src"], i["cost"]) for i in n["ins"] or () if i["src"] in weight] for n in own}
+    after: dict[str, list[str]] = {}
+    for node, before in ins.items():
+        for src, _ in before:
+            after.setdefault(src, []).append(node)
+    need = {node: len(before) for node, before in ins.items()}
+    ready, length = [n for n, k in need.items() if not k], {}
+    while ready:
+        node = ready.pop()
+        length[node] = weight[node] + max((length[src] + cost for src, cost in ins[node]), default=0.0)
+        for n in after.get(node, ()):
+            need[n] -= 1
+            if not need[n]:
+                ready.append(n)
+    return list(length.items())
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = None, edge_cost: Column | None = None) -> DataFrame:
     """(program_id, node, length): the heaviest path ending at each node, its own weight included (1 each by
     default: the depth). Nodes on or behind a cycle are left out: relaxation runs over the nodes whose
-    predecessors are all settled."""
+    predecessors are all settled. Edges from or to nodes that are not there do not count."""
     scratch = Scratch(nodes.sparkSession, "paths")
-    own = scratch.save(nodes.select("program_id", "node", (weight if weight is not None else F.lit(1.0)).cast("double").alias("w")))
-    links = edges.select("program_id", "src", "dst", (edge_cost if edge_cost is not None else F.lit(0.0)).cast("double").alias("cost"))
+    own = nodes.select("program_id", "node", (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"))
+    links = edges.select("program_id", "src", "dst", (edge_cost if edge_cost is not None else F.lit(0.0)).cast("double").alias("cost")).distinct()
+    large = _by_size(links, scratch)
+    if large is None:
+        return _per_program(own, links, _longest, "program_id string, node string, length double")
+    small = _per_program(
+        own.join(large, "program_id", "left_anti"), links.join(large, "program_id", "left_anti"), _longest, "program_id string, node string, length double"
+    )
+    return small.unionByName(_longest_in_rounds(own.join(large, "program_id", "left_semi"), links.join(large, "program_id", "left_semi"), scratch))
+
+
+def _longest_in_rounds(own: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    own = scratch.save(own)
     links = links.join(own.select("program_id", F.col("node").alias("src")), ["program_id", "src"], "left_semi")
-    links = scratch.save(links.join(own.select("program_id", F.col("node").alias("dst")), ["program_id", "dst"], "left_semi").distinct())
+    links = scratch.save(links.join(own.select("program_id", F.col("node").alias("dst")), ["program_id", "dst"], "left_semi"))
     wanted = scratch.save(
         own.join(links.groupBy("program_id", F.col("dst").alias("node")).agg(F.count("*").alias("need")), ["program_id", "node"], "left")
         .withColumn("need", F.coalesce("need", F.lit(0)))
     )
     done = scratch.save(wanted.where("need = 0").select("program_id", "node", F.col("w").alias("length")))
-    size = done.count()
-    for _ in range(MAX_ROUNDS):
+    size, grown = -1, done.count()
+    while grown != size:
+        size = grown
         reached = links.join(done.withColumnRenamed("node", "src"), ["program_id", "src"]).groupBy(
             "program_id", F.col("dst").alias("node")
         ).agg(F.count("*").alias("have"), F.max(F.col("length") + F.col("cost")).alias("upto"))
@@ -44,9 +83,6 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
         grown = after.count()
         scratch.drop(done)
         done = after
-        if grown == size:
-            break
-        size = grown
     return done
 
 
@@ -68,21 +104,43 @@ def critical_path(nodes: DataFrame, edges: DataFrame, outputs: DataFrame, costs:
     return paths.join(ends, ["program_id", "node"]).select("program_id", F.round("length", 3).alias("critical_ms"))
 
 
+def _reached(own: list[dict]) -> list[tuple]:
+    """(node,) of all that the starts reach, by the edges that lead into each node."""
+    after: dict[str, list[str]] = {}
+    for n in own:
+        for i in n["ins"] or ():
+            after.setdefault(i["src"], []).append(n["node"])
+    seen = {n["node"] for n in own if n["start"]}
+    todo = list(seen)
+    while todo:
+        for n in after.get(todo.pop(), ()):
+            if n not in seen:
+                seen.add(n)
+                todo.append(n)
+    return [(n,) for n in seen]
+
+
 def reachable(edges: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:
     """(program_id, node): all that the start nodes reach along (or against) the edges, themselves included.
     Cycles are no harm: a round only keeps nodes not seen before."""
     scratch = Scratch(edges.sparkSession, "reach")
     a, b = ("src", "dst") if forward else ("dst", "src")
-    links = scratch.save(edges.select("program_id", F.col(a).alias("node"), F.col(b).alias("next")).distinct())
-    seen = scratch.save(starts.select("program_id", "node").distinct())
-    frontier = seen
-    for _ in range(MAX_ROUNDS):
-        step = links.join(frontier, ["program_id", "node"]).select("program_id", F.col("next").alias("node")).distinct()
-        frontier = scratch.save(step.join(seen, ["program_id", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = scratch.save(seen.unionByName(frontier))
-    return seen
+    links = scratch.save(edges.select("program_id", F.col(a).alias("src"), F.col(b).alias("dst")).distinct())
+    first = starts.select("program_id", "node").distinct()
+    large = _by_size(links, scratch)
+    few = (lambda df: df) if large is None else (lambda df: df.join(large, "program_id", "left_anti"))
+    ends = few(links).select("program_id", F.col("src").alias("node")).unionByName(few(links).select("program_id", F.col("dst").alias("node")))
+    told = few(first).withColumn("start", F.lit(True)).unionByName(ends.withColumn("start", F.lit(False))).groupBy("program_id", "node").agg(F.bool_or("start").alias("start"))
+    seen = _per_program(told, few(links).withColumn("cost", F.lit(0.0)), _reached, "program_id string, node string")
+    if large is None:
+        return seen
+    links, found = links.join(large, "program_id", "left_semi"), scratch.save(first.join(large, "program_id", "left_semi"))
+    frontier = found
+    while not frontier.isEmpty():
+        step = links.join(frontier.withColumnRenamed("node", "src"), ["program_id", "src"]).select("program_id", F.col("dst").alias("node")).distinct()
+        frontier = scratch.save(step.join(found, ["program_id", "node"], "left_anti"))
+        found = scratch.save(found.unionByName(frontier))
+    return seen.unionByName(found)
 
 
 def dead_nodes(nodes: DataFrame, edges: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -114,15 +172,16 @@ def producers(nodes: DataFrame, edges: DataFrame, through: str = "EXTRACT_FIELD"
     scratch = Scratch(nodes.sparkSession, "chain")
     skip = nodes.where(F.col("op") == through).select("program_id", "node")
     into = edges.join(skip.withColumnRenamed("node", "dst"), ["program_id", "dst"]).select("program_id", F.col("dst").alias("node"), F.col("src").alias("producer"))
-    now = scratch.save(into)
-    for _ in range(MAX_ROUNDS):
-        hop = into.select("program_id", F.col("node").alias("producer"), F.col("producer").alias("further"))
+    now, left = scratch.save(into), -1
+    while left:  # a chain's steps double in every round
+        hop = now.select("program_id", F.col("node").alias("producer"), F.col("producer").alias("further"))
         after = scratch.save(
             now.join(hop, ["program_id", "producer"], "left").select("program_id", "node", F.coalesce("further", "producer").alias("producer"), F.col("further").isNotNull().alias("moved"))
         )
+        before, left = left, after.where("moved").count()
+        if left and left == before:
+            raise ValueError(f"a cycle of {through} nodes has no producer")
         now = after.drop("moved")
-        if after.where("moved").isEmpty():
-            break
     return now
 
 
@@ -161,6 +220,8 @@ def _per_program(nodes: DataFrame, edges: DataFrame, plan: Callable[[list[dict]]
     """Runs ``plan`` on each program's nodes (dicts with their incoming edges as ``ins``): one row a program
     is gathered by Spark, and programs come to Python in batches. A program is bounded by what one author
     wrote."""
+    id_kind = nodes.schema["program_id"].dataType.simpleString()
+    schema = schema.replace("program_id string", f"program_id {id_kind}")
     ins = edges.groupBy("program_id", F.col("dst").alias("node")).agg(F.collect_list(F.struct("src", "cost")).alias("ins"))
     whole = nodes.join(ins, ["program_id", "node"], "left").groupBy("program_id").agg(
         F.collect_list(F.struct(*[c for c in nodes.columns if c != "program_id"], "ins")).alias("nodes")
@@ -171,7 +232,8 @@ def _per_program(nodes: DataFrame, edges: DataFrame, plan: Callable[[list[dict]]
         for batch in batches:
             rows = [(id_, *row) for id_, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in plan(own)]
             kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
-            columns = [pa.array([r[i] for r in rows], kinds[c.split()[1]]) for i, c in enumerate(schema.split(", "))]
+            told = [c.split()[1] for c in schema.split(", ")]
+            columns = [pa.array([r[i] for r in rows], kinds[k] if i else batch.schema.field(0).type) for i, k in enumerate(told)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return whole.select("program_id", "nodes").mapInArrow(run, schema)
@@ -224,13 +286,15 @@ def list_schedule(nodes: DataFrame, edges: DataFrame, pools: dict[str, int] | No
 
 
 def heft_schedule(nodes: DataFrame, edges: DataFrame, processors: int = 2) -> DataFrame:
-    """Per program: nodes by descending upward rank (ties by name), each on the processor that ends it first;
-    edges (program_id, src, dst, cost) delay their targets."""
+    """Per program: nodes by descending upward rank (ties in topological order, then by name), each on the processor
+    that ends it first; edges (program_id, src, dst, cost) delay their targets."""
 
     def plan(own: list[dict]) -> list[tuple]:
         weight, before, rank = _upward(own)
-        free, end, out = [0.0] * processors, {}, []
-        for node in sorted(weight, key=lambda n: (-rank[n], n)):
+        free, end, out, place = [0.0] * processors, {}, [], {}
+        while ready := sorted(n for n in before if n not in place and all(s in place for s, _ in before[n])):
+            place |= {n: len(place) + k for k, n in enumerate(ready)}
+        for node in sorted(weight, key=lambda n: (-round(rank[n], 9), place[n])):
             data = max((end[s] + c for s, c in before[node]), default=0.0)
             p = min(range(processors), key=lambda i: (max(free[i], data), i))
             start = max(free[p], data)

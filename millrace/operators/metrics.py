@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -145,56 +144,100 @@ def in_order_matches(gold: DataFrame, found: DataFrame, key: list[str], order: s
     return a.join(b, [*key, "_n"], "left").drop("_n")
 
 
+def assignment(weight: list[list[int]]) -> list[int]:
+    """Column of each row in a one-to-one matching of the largest total weight (whole numbers, rows no more than
+    columns): shortest augmenting paths over reduced costs. Exact at every size, in rows * rows * columns steps."""
+    n, m = len(weight), len(weight[0]) if weight else 0
+    row_price, column_price, row_of = [0] * n, [0] * m, [-1] * m
+    for i in range(n):
+        slack, via, done = [None] * m, [-1] * m, [False] * m
+        row, column = i, -1
+        while True:
+            least, best = None, -1
+            for j in range(m):
+                if done[j]:
+                    continue
+                cost = row_price[row] + column_price[j] - weight[row][j]
+                if slack[j] is None or cost < slack[j]:
+                    slack[j], via[j] = cost, column
+                if least is None or slack[j] < least:
+                    least, best = slack[j], j
+            row_price[i] -= least
+            for j in range(m):
+                if done[j]:
+                    row_price[row_of[j]] -= least
+                    column_price[j] += least
+                elif slack[j] is not None:
+                    slack[j] -= least
+            done[best], column, row = True, best, row_of[best]
+            if row < 0:
+                break
+        while column >= 0:  # turn the path around
+            before = via[column]
+            row_of[column] = i if before < 0 else row_of[before]
+            column = before
+    chosen = [-1] * n
+    for j, row in enumerate(row_of):
+        if row >= 0:
+            chosen[row] = j
+    return chosen
+
+
 def best_matches(pairs: DataFrame, group: str) -> DataFrame:
-    """pairs (group, gold, found, score): the one-to-one matching of each group with the largest total score
-    (ties: smaller indexes first). Groups are small sets of equal calls; up to 12 are solved exactly over
-    subsets, larger ones greedily by score."""
+    """pairs (group, gold, found, score): the one-to-one matching of each group with the largest total score, and of
+    these one with the most pairs. Groups are sets of equal calls; scores count to 12 binary digits after the
+    millionth, negative ones never help, and rows that repeat a pair count with their best score."""
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        gold, found = sorted(frame["gold"].unique()), sorted(frame["found"].unique())
-        score = {(g, f): s for g, f, s in zip(frame["gold"], frame["found"], frame["score"], strict=True)}
-        if len(found) <= 12:
-            best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-            for g in gold:
-                after = dict(best)
-                for used, (total, chosen) in best.items():
-                    for k, f in enumerate(found):
-                        if not used >> k & 1 and (g, f) in score:
-                            mine = (total + score[g, f], (*chosen, (g, f)))
-                            if used | 1 << k not in after or mine[0] > after[used | 1 << k][0]:
-                                after[used | 1 << k] = mine
-                best = after
-            chosen = max(best.values(), key=lambda v: (v[0], len(v[1])))[1]
-        else:
-            taken_g, taken_f, chosen = set(), set(), []
-            for (g, f), _ in sorted(score.items(), key=lambda x: (-x[1], x[0])):
-                if g not in taken_g and f not in taken_f:
-                    chosen.append((g, f))
-                    taken_g.add(g)
-                    taken_f.add(f)
-        return pd.DataFrame([(frame[group].iloc[0], g, f, score[g, f]) for g, f in chosen], columns=[group, "gold", "found", "score"])
+        score: dict[tuple, float] = {}
+        for g, f, s in zip(frame["gold"], frame["found"], frame["score"], strict=True):
+            if s >= 0:
+                score[g, f] = max(s, score.get((g, f), s))
+        sides = sorted({g for g, _ in score}), sorted({f for _, f in score})
+        few = int(len(sides[0]) > len(sides[1]))  # rows are the smaller side
+        rows, columns = sides[few], sides[1 - few]
+        key = (lambda r, c: (c, r)) if few else (lambda r, c: (r, c))
+        unit = 1 << max(1, len(rows)).bit_length()  # one more pair never outweighs score
+        weight = [[round(score[k] * (1 << 32)) * unit + 1 if (k := key(r, c)) in score else 0 for c in columns] for r in rows]
+        chosen = [key(r, columns[j]) for r, j in zip(rows, assignment(weight), strict=True)]
+        out = [(frame[group].iloc[0], *k, score[k]) for k in sorted(k for k in chosen if k in score)]
+        return pd.DataFrame(out, columns=[group, "gold", "found", "score"])
 
     return pairs.groupBy(group).applyInPandas(match, f"{group} {pairs.schema[group].dataType.simpleString()}, gold long, found long, score double")
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function I_x(a, b), by its continued fraction (modified Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value, c, d, step = 1.0, 1.0, 0.0, 0
+    while True:  # the steps grow with the square root of a + b
+        step += 1
+        m = step // 2
+        if step % 2:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = 1 / ((1 + term * d) or 1e-300)
+        c = (1 + term / c) or 1e-300
+        value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            return front / value
+
+
 def clopper_pearson(df: DataFrame, hits: str, trials: str, confidence: float = 0.95) -> DataFrame:
-    """Exact binomial intervals (low, high), by bisection on the binomial tail in log space."""
+    """Exact binomial intervals (low, high), by bisection on the binomial tail."""
     tail = (1 - confidence) / 2
 
-    def upper_tail(k: int, n: int, p: float) -> float:
-        """P(X >= k)."""
-        if p <= 0 or p >= 1:
-            return float(k == 0) if p <= 0 else 1.0
-        lp, lq = math.log(p), math.log1p(-p)
-        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq for i in range(k, n + 1)]
-        top = max(terms)
-        return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
-
     def solve(k: int, n: int, target: float) -> float:
+        """p for which P(X >= k) is the target."""
         low, high = 0.0, 1.0
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if upper_tail(k, n, mid) < target else (low, mid)
+            low, high = (mid, high) if beta_share(k, n - k + 1, mid) < target else (low, mid)
         return (low + high) / 2
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,9 +253,9 @@ def clopper_pearson(df: DataFrame, hits: str, trials: str, confidence: float = 0
 
 
 def mcnemar_p(b: int, c: int) -> float:
-    """Exact two-sided p of b against c discordant pairs."""
-    n, k = b + c, min(b, c)
-    return min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n))) if n else 1.0
+    """Exact two-sided p of b against c discordant pairs: twice the smaller binomial tail, to 12 digits."""
+    few, many = min(b, c), max(b, c)
+    return min(1.0, float(f"{2 * beta_share(many, few + 1, 0.5):.12g}")) if b + c else 1.0
 
 
 def mcnemar(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -101,13 +101,19 @@ def spanning_keys(df: DataFrame, key: str, split: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(split).cast("long").alias("n_splits")).where("n_splits > 1")
 
 
+def _grams(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """(id, gram): the distinct runs of n words of each normal form, a shorter text as one; none for no words."""
+    words = F.filter(F.split(T.normalize(F.col("text")), " "), lambda w: w != "")
+    return df.select(id_col, F.explode(F.array_distinct(T.shingles(words, n))).alias("gram"))
+
+
 def contamination(docs: DataFrame, evaluation: DataFrame, n: int = 8, threshold: float = NEAR) -> DataFrame:
     """(item_id, doc_id, contained): documents that hold at least ``threshold`` of the n-word shingles of an
-    evaluation item. Only shingles of the evaluation set leave the scan of the documents."""
-    items = evaluation.select("item_id", F.explode(F.array_distinct(T.shingles(F.split(T.normalize(F.col("text")), " "), n))).alias("gram"))
+    evaluation item. Only shingles of the evaluation set leave the scan of the documents. Texts without a word
+    hold nothing and are held by nothing."""
+    items = _grams(evaluation, "item_id", n)
     sizes = items.groupBy("item_id").agg(F.count("*").alias("size"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(T.shingles(F.split(T.normalize(F.col("text")), " "), n))).alias("gram"))
-    hits = grams.join(items, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    hits = _grams(docs, "doc_id", n).join(items, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
     return (
         hits.join(sizes, "item_id")
         .withColumn("contained", F.round(F.col("hits") / F.col("size"), 4))
@@ -116,6 +122,24 @@ def contamination(docs: DataFrame, evaluation: DataFrame, n: int = 8, threshold:
     )
 
 
+def external_overlap(docs: DataFrame, evaluation: DataFrame, family: str, n: int = 8, threshold: float = NEAR) -> DataFrame:
+    """One row a ``family`` of documents: documents, those with an evaluation item's exact normal form, those that contain one
+    (as ``contamination`` says), their percentages, and the class: ``in_distribution`` from 20 % contained on,
+    ``near`` above 0, else ``out_of_distribution``."""
+    told = docs.select("doc_id", family, T.normalize(F.col("text")).alias("norm"))
+    norms = evaluation.select(T.normalize(F.col("text")).alias("norm")).where("norm <> ''").distinct().withColumn("exact", F.lit(True))
+    held = contamination(docs, evaluation, n, threshold).select("doc_id").distinct().withColumn("held", F.lit(True))
+    joined = told.join(norms, "norm", "left").join(held, "doc_id", "left")
+    out = joined.groupBy(family).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.coalesce("exact", F.lit(False))).alias("n_exact"),
+        F.count_if(F.coalesce("held", F.lit(False))).alias("n_contained"),
+    )
+    share = F.col("n_contained") / F.col("n")
+    kind = F.when(share >= 0.2, "in_distribution").when(share > 0, "near").otherwise("out_of_distribution")
+    return out.withColumn("pct_contained", F.round(F.col("n_contained") * 100.0 / F.col("n"), 2)).withColumn("kind", kind)
+
+
 def purge(df: DataFrame, id_col: str, text_col: str, split: str, priority: list[str], threshold: float = NEAR) -> DataFrame:
     """Rows to drop: of each near pair across splits, the one whose split comes later in ``priority``."""
     pairs = verified_pairs(df, id_col, text_col, threshold)
@@ -125,3 +149,24 @@ def purge(df: DataFrame, id_col: str, text_col: str, split: str, priority: list[
         rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b"
     )
     return both.where("ra <> rb").select(F.when(F.col("ra") > F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+
+
+def rare_gram_purge(df: DataFrame, split: str, priority: dict[str, int], most: int = 25, prefix: int = 12, most_prefix: int = 50, threshold: float = NEAR) -> DataFrame:
+    """(id) of the rows (id, text, split) to drop: pairs of different splits that share a run of 8 words which at most
+    ``most`` rows hold, or their first ``prefix`` words where at most ``most_prefix`` rows do, and whose runs have a
+    Jaccard similarity above the threshold; of each the row of larger priority goes, of equal ones the larger id.
+    The bounds on rows are the operator's definition of a rare key; they bound the pairs of a key too."""
+    grams = Scratch(df.sparkSession, "rare").save(_grams(df, "id", 8))
+    words = F.filter(F.split(T.normalize(F.col("text")), " "), lambda w: w != "")
+    heads = df.select("id", F.array_join(F.slice(words, 1, prefix), " ").alias("key")).where("key <> ''")
+    rare = lambda keyed, bound: keyed.join(keyed.groupBy("key").count().where(F.col("count").between(2, bound)).select("key"), "key")
+    keyed = rare(grams.withColumnRenamed("gram", "key"), most).unionByName(rare(heads, most_prefix))
+    sides = df.select("id", split, F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col(split)].alias("p"))
+    own = keyed.join(sides, "id")
+    a, b = (own.select("key", F.col("id").alias(x), F.col(split).alias(f"s{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    pairs = a.join(b, "key").where("a < b AND sa <> sb").select("a", "b", "pa", "pb").distinct()
+    sizes = grams.groupBy("id").agg(F.count("*").alias("n"))
+    both = pairs.join(grams.withColumnRenamed("id", "a"), "a").join(grams.withColumnRenamed("id", "b"), ["b", "gram"])
+    shared = both.groupBy("a", "b", "pa", "pb").agg(F.count("*").alias("both"))
+    near = shared.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    return near.where(F.col("both") > (F.col("na") + F.col("nb") - F.col("both")) * threshold).select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()

@@ -117,18 +117,36 @@ def capped_pool(own: DataFrame, others: DataFrame, by: str, name: str, cap: int)
     return best.withColumn("rank", rank).where(F.col("rank") <= cap)
 
 
+def _copies(unit: Column, seed: int) -> Column:
+    """How often a unit is drawn in a replicate: a Poisson(1) law by hash of seed, replicate and unit."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("replicate"), unit.cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    # cumulative probabilities of 0, 1, 2 ... copies under Poisson(1)
+    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+    return sum((u >= c).cast("int") for c in cuts)
+
+
 def bootstrap(df: DataFrame, id_col: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
     """(replicate, mean): resamples with replacement. Rows draw their multiplicity from a Poisson(1) law by
     hash, so a replicate is one aggregate and no row is looked up by position."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("replicate"), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    # cumulative probabilities of 0, 1, 2 ... copies under Poisson(1)
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    copies = sum((u >= c).cast("int") for c in cuts)
     drawn = df.where(F.col(value).isNotNull()).select(id_col, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    weighted = drawn.withColumn("copies", copies)
+    weighted = drawn.withColumn("copies", _copies(F.col(id_col), seed))
     return weighted.groupBy("replicate").agg(F.round(F.sum(F.col("copies") * F.col(value)) / F.sum("copies"), 6).alias("mean"))
 
 
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(replicate, mean): whole clusters (tasks) are drawn, each with all its values. Clusters are summed first, so
+    a replicate reads one row a cluster."""
+    sums = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    drawn = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("copies", _copies(F.col(cluster), seed))
+    return drawn.groupBy("replicate").agg(F.round(F.sum(F.col("copies") * F.col("total")) / F.sum(F.col("copies") * F.col("n")), 6).alias("mean"))
+
+
+def paired_deltas(df: DataFrame, unit: str, arm: str, one: str, other: str, value: str) -> DataFrame:
+    """(unit, delta): the mean value of arm ``one`` less that of arm ``other``, for the units that have both."""
+    of = lambda a: F.avg(F.when(F.col(arm) == a, F.col(value)))
+    return df.groupBy(unit).agg((of(one) - of(other)).alias("delta")).where("delta IS NOT NULL")
+
+
 def interval(replicates: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """One row: the means at ranks floor(q * n) + 1."""
     from .corpus import floor_rank, ranked_value

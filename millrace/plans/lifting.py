@@ -160,6 +160,25 @@ def lift_function(name: str, code: str) -> tuple[Program | None, str]:
     return Program(name, tuple(nodes), output, inputs), ""
 
 
+_SIGNAL = re.compile(r"\b(?:input|output|inout)\s+(?:wire|reg|logic)?\s*(?:\[[^\]]*\]\s*)?([A-Za-z_]\w*)")
+
+
+def lift_rtl(name: str, task: str | None, rtl: str) -> tuple[Program | None, str]:
+    """Repair of a hardware design: its ports and failures are read, known bugs looked up, a fix is written and
+    verified, three times at most."""
+    if not isinstance(task, str) or not task:
+        return None, "no task"
+    ports = _SIGNAL.findall(rtl) or ["clk", "rst", "data"]
+    nodes = (
+        Node("%design", "LOAD", ("@task",), {"source": "design.sv + waveform.vcd", "kind": "design_artifacts"}),
+        Node("%facts", "EXTRACT", ("%design",), {"fields": [*ports, "assertion_failures"]}),
+        Node("%known", "SEARCH", ("@task",), {"domain": "rtl", "corpus": "known_bug_db"}, output_type="List[Rtl]"),
+        Node("%fix", "CODEGEN", ("%facts", "%known", "@task"), {"role": "rtl_fix", "target": "design.sv"}, retry=(3, "%verify")),
+        Node("%verify", "VERIFY", ("%fix", "%facts"), {"check": "syntax_and_lint_and_assertion_pass"}),
+    )
+    return Program(name, nodes, "%fix", (("@task", "Str"),)), ""
+
+
 LIFTED = "id string, source string, text string, reason string, kinds array<string>, valid boolean, warnings array<string>"
 
 
@@ -182,6 +201,8 @@ def lift_table(raw: DataFrame) -> DataFrame:
             program, reason = lift_sql(row.id, row.sql)
         elif isinstance(row.code, str):
             program, reason = lift_function(row.id, row.code)
+        elif isinstance(row.rtl, str):
+            program, reason = lift_rtl(row.id, row.input_text, row.rtl)
         else:
             program, reason = None, "unsupported"
         if program is None:
@@ -193,7 +214,7 @@ def lift_table(raw: DataFrame) -> DataFrame:
         for frame in batches:
             yield pd.DataFrame([one(r) for r in frame.itertuples(index=False)], columns=[c.split()[0] for c in LIFTED.split(", ")])
 
-    return raw.select("id", "source", "trajectory", "sql", "code").mapInPandas(lift, LIFTED)
+    return raw.select("id", "source", "trajectory", "sql", "code", "rtl", "input_text").mapInPandas(lift, LIFTED)
 
 
 def corpus(raw: DataFrame) -> DataFrame:

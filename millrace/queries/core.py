@@ -161,7 +161,7 @@ def field_path_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    "SELECT o_custkey, [o_orderkey, o_orderkey + 1] AS pair, o_orderkey AS first_key FROM orders WHERE o_orderkey % 7 = 0"
+    "SELECT o_custkey, [o_orderkey, o_orderkey + 1] AS pair, o_orderkey AS first_key FROM orders"
 )
 def make_list_path(spark: SparkSession, sf: str) -> DataFrame:
     nested = table(spark, sf, "orders").select("o_custkey", F.struct(C.make_list(F.col("o_orderkey"), F.col("o_orderkey") + 1).alias("keys")).alias("v"))
@@ -213,10 +213,7 @@ def semi_anti_membership(spark: SparkSession, sf: str) -> DataFrame:
     return inside.withColumn("has_orders", F.lit(True)).unionByName(outside.withColumn("has_orders", F.lit(False)))
 
 
-@R.add(
-    """SELECT o_orderkey, map_entries(map_concat(map {'status': o_orderstatus, 'key': 'raw'}, map {'key': o_orderkey::VARCHAR})) IS NOT NULL AS ok,
-  o_orderkey::VARCHAR AS kept, coalesce(nullif(o_orderstatus, 'P'), 'none') AS merged FROM orders"""
-)
+@R.add("SELECT o_orderkey, 2 AS n, o_orderstatus AS status, o_orderkey::VARCHAR AS key, coalesce(nullif(o_orderstatus, 'P'), 'none') AS merged FROM orders")
 def merge_values(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
@@ -224,8 +221,9 @@ def merge_values(spark: SparkSession, sf: str) -> DataFrame:
     merged = C.merge_maps(raw, F.create_map(F.lit("key"), key))
     return orders.select(
         "o_orderkey",
-        merged.isNotNull().alias("ok"),
-        merged["key"].alias("kept"),
+        F.size(merged).alias("n"),
+        merged["status"].alias("status"),
+        merged["key"].alias("key"),
         C.merge_values(F.nullif(F.col("o_orderstatus"), F.lit("P")), F.lit("none")).alias("merged"),
     )
 
@@ -289,3 +287,43 @@ SQL_TEXTS = (
 def sql_feature_flags(spark: SparkSession, sf: str) -> DataFrame:
     texts = spark.createDataFrame(SQL_TEXTS, "id int, q string")
     return texts.select("id", *[c.alias(n) for n, c in X.sql_features(F.col("q")).items()])
+
+
+@R.add("SELECT c_custkey, contains(trim(c_name), trim(c_mktsegment)) OR contains(trim(c_mktsegment), trim(c_name)) OR contains(c_name, c_custkey::VARCHAR) AS alike FROM customer")
+def loose_match(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("c_name")
+    alike = X.loose_match(name, F.col("c_mktsegment")) | X.loose_match(name, F.col("c_custkey").cast("string"))
+    return table(spark, sf, "customer").select("c_custkey", alike.alias("alike"))
+
+
+ASKED = "'Show the ' || CASE l_linenumber WHEN 1 THEN 'cheapest' WHEN 2 THEN 'largest' WHEN 3 THEN 'average' WHEN 4 THEN 'number of' ELSE 'sorted' END || ' items'"
+DONE = "CASE WHEN l_returnflag = 'R' THEN 'MIN' WHEN l_returnflag = 'A' THEN 'COUNT' ELSE 'AVG' END"
+
+
+@R.add(
+    f"""WITH t AS (SELECT l_orderkey, l_linenumber, {DONE} AS op, CASE WHEN l_linestatus = 'O' THEN 'select x order by y' ELSE '' END AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE l_linenumber
+  WHEN 1 THEN CASE WHEN op <> 'MIN' AND NOT contains(q, 'order by') THEN 'MISSING_CONSTRAINT:optimization(min)' ELSE '' END
+  WHEN 2 THEN 'MISSING_CONSTRAINT:optimization(max)' WHEN 3 THEN CASE WHEN op <> 'AVG' THEN 'MISSING_CONSTRAINT:average' ELSE '' END
+  WHEN 4 THEN CASE WHEN op <> 'COUNT' THEN 'MISSING_CONSTRAINT:count' ELSE '' END
+  ELSE CASE WHEN NOT contains(q, 'order by') THEN 'MISSING_CONSTRAINT:sort' ELSE '' END END AS missing FROM t"""
+)
+def missing_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    payload = F.when(F.col("l_linestatus") == "O", "SELECT x ORDER BY y")
+    found = X.missing_constraints(F.expr(ASKED), F.array(F.expr(DONE)), payload)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(found, ",").alias("missing"))
+
+
+@R.add(
+    "SELECT p_partkey, p_size::DOUBLE = 10 OR p_size % 7 = 0 AS by_number, upper(p_brand) IN ('BRAND#11', 'BRAND#23') AS by_text, p_size > 25 AS optional FROM part"
+)
+def accepted_values(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    sevens = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: (i * 7).cast("string"))
+    given = F.when(F.col("p_size") <= 25, F.lit("never"))
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        X.accepted(size, F.concat(F.array(F.lit("10.0")), sevens)).alias("by_number"),
+        X.accepted(F.col("p_brand"), F.array(F.lit("brand 11"), F.lit("Brand#11"), F.lit("brand#23"))).alias("by_text"),
+        X.accepted(given, F.array(F.lit(""), F.lit("x"))).alias("optional"),
+    )

@@ -113,9 +113,16 @@ def priority_choice(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.prioritized(docs(spark, sf, "source", "doc_id", "n_chars", "lang"), ["source"], rule, ["n_chars", "doc_id"])
 
 
-@R.add()
+def _value(c: str) -> str:
+    return f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, 'null')"
+
+
+@R.add(
+    f"""WITH r AS (SELECT lang, ('0x' || substr(md5(concat_ws('|', {', '.join(_value(c) for c in ('doc_id', 'text', 'lang', 'source', 'n_chars'))})), 1, 15))::BIGINT AS h FROM documents)
+SELECT lang, count(*) AS n, sha256(concat_ws('|', count(*), sum(h), bit_xor(h))) AS sha256 FROM r GROUP BY lang"""
+)
 def table_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.manifest(docs(spark, sf), ["lang"])
+    return corpus.manifest(docs(spark, sf, "doc_id", "text", "lang", "source", "n_chars"), ["lang"])
 
 
 @R.add(f"SELECT doc_id, len({TOKS})::INTEGER AS n_tokens, md5({NORM}) AS norm_md5 FROM documents")
@@ -167,14 +174,14 @@ def dup_families(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.families(spread(docs(spark, sf, "doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
-@R.add(
-    f"""WITH k AS (SELECT doc_id AS id, list_sort(list_distinct({TOKS})) AS toks FROM documents), z AS (SELECT min(id) AS id, toks, list(id) AS ids FROM k WHERE len(toks) > 0 GROUP BY toks),
+NEAR = f"""k AS (SELECT doc_id AS id, list_sort(list_distinct({TOKS})) AS toks FROM documents), z AS (SELECT min(id) AS id, toks, list(id) AS ids FROM k WHERE len(toks) > 0 GROUP BY toks),
 sg AS (SELECT id, [{SIG}] AS sig FROM z), bd AS (SELECT id, b AS band, array_to_string(sig[b * 4 + 1:b * 4 + 4], '') AS key FROM sg, range(8) r(b)),
 p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bd x JOIN bd y USING (band, key) WHERE x.id < y.id),
-j AS (SELECT a, b, len(list_intersect(x.toks, y.toks))::DOUBLE / len(list_distinct(list_concat(x.toks, y.toks))) AS similarity FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b)
-SELECT a, b, {r2('similarity', 6)} AS similarity FROM j WHERE similarity >= 0.8 UNION ALL
-SELECT id, unnest(list_filter(ids, lambda i: i > id)), 1.0::DOUBLE FROM z"""
-)
+j AS (SELECT a, b, len(list_intersect(x.toks, y.toks))::DOUBLE / len(list_distinct(list_concat(x.toks, y.toks))) AS similarity FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b),
+near AS (SELECT a, b, {r2('similarity', 6)} AS similarity FROM j WHERE similarity >= 0.8 UNION ALL SELECT id, unnest(list_filter(ids, lambda i: i > id)), 1.0::DOUBLE FROM z)"""
+
+
+@R.add(f"WITH {NEAR} SELECT a, b, similarity FROM near")
 def near_dup_verified(spark: SparkSession, sf: str) -> DataFrame:
     found = neardup.verified_pairs(spread(docs(spark, sf, "doc_id", "text"), "doc_id"), "doc_id", "text")
     return found.withColumn("similarity", F.round("similarity", 6))
@@ -203,7 +210,14 @@ def _families(spark: SparkSession, sf: str) -> DataFrame:
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE f AS (SELECT family, count(*) AS n FROM ({FAMILY}) GROUP BY family), o AS (SELECT *, row_number() OVER (ORDER BY md5('0|' || family::VARCHAR), family) AS i, sum(n) OVER ()::DOUBLE AS total FROM f),
+w AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, '' AS split UNION ALL
+  SELECT i, a + CASE WHEN split = 'train' THEN n ELSE 0 END, b + CASE WHEN split = 'val' THEN n ELSE 0 END, c + CASE WHEN split = 'test' THEN n ELSE 0 END, split FROM
+    (SELECT o.i, o.n, w.a, w.b, w.c, CASE WHEN x >= y AND x >= z THEN 'train' WHEN y >= z THEN 'val' ELSE 'test' END AS split FROM w JOIN
+      (SELECT *, total * 0.8::DOUBLE AS ta, total * 0.1::DOUBLE AS tb FROM o) o ON o.i = w.i + 1, LATERAL (SELECT (ta - w.a) / ta AS x, (tb - w.b) / tb AS y, (tb - w.c) / tb AS z)))
+SELECT family, n, split FROM o JOIN w USING (i)"""
+)
 def group_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.greedy_family_split(_families(spark, sf), SHARES)
 
@@ -238,19 +252,35 @@ def split_isolation(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.spanning_keys(_bucketed(spark, sf), "source", "split")
 
 
-@R.add()
+@R.add(
+    f"""WITH {NEAR}, s AS (SELECT doc_id AS id, list_position(['test', 'val', 'train'], split) AS r FROM {BUCKETED})
+SELECT DISTINCT CASE WHEN x.r > y.r THEN a ELSE b END AS id FROM near JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE x.r <> y.r"""
+)
 def cross_split_purge(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.purge(_bucketed(spark, sf), "doc_id", "text", "split", ["test", "val", "train"])
 
 
-WORDS = f"string_split({NORM}, ' ')"
+WORDS = f"list_filter(string_split({NORM}, ' '), lambda w: w <> '')"
 
 
 def _grams(source: str, key: str) -> str:
-    w = f"(SELECT {key}, {WORDS} AS w FROM {source})"
+    w = f"(SELECT * FROM (SELECT {key}, {WORDS} AS w FROM {source}) WHERE len(w) > 0)"
     return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM {w})"
 
 
+@R.add(
+    f"""WITH g AS {_grams(BUCKETED, 'doc_id, split')}, w AS (SELECT doc_id, split, {WORDS} AS w FROM {BUCKETED}),
+k AS (SELECT doc_id, split, g AS key FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) BETWEEN 2 AND 25) UNION ALL
+  SELECT doc_id, split, key FROM (SELECT doc_id, split, array_to_string(w[1:12], ' ') AS key, count(*) OVER (PARTITION BY array_to_string(w[1:12], ' ')) AS n FROM w WHERE len(w) > 0) WHERE n BETWEEN 2 AND 50),
+p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.split AS sa FROM k x JOIN k y USING (key) WHERE x.doc_id < y.doc_id AND x.split <> y.split),
+z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), h AS (SELECT a, b, sa, count(*) AS h FROM p JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b AND x.g = y.g GROUP BY ALL)
+SELECT DISTINCT CASE WHEN sa = 'train' THEN a ELSE b END AS id FROM h JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE h > (x.n + y.n - h) * 0.8::DOUBLE"""
+)
+def rare_gram_purge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _bucketed(spark, sf).select(F.col("doc_id").alias("id"), "text", "split")
+    return neardup.rare_gram_purge(rows, "split", {"val": 0, "test": 0, "train": 1})
+
+
 @R.add(
     f"""WITH i AS {_grams('benchmark', 'item_id')}, d AS {_grams('documents', 'doc_id')}, z AS (SELECT item_id, count(*) AS size FROM i GROUP BY item_id),
 h AS (SELECT item_id, doc_id, count(*) AS hits FROM d JOIN i USING (g) GROUP BY ALL)
@@ -260,6 +290,17 @@ def contamination(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.contamination(spread(docs(spark, sf, "doc_id", "text"), "doc_id"), table(spark, sf, "benchmark"))
 
 
+@R.add(
+    f"""WITH i AS {_grams('benchmark', 'item_id')}, d AS {_grams('documents', 'doc_id')}, z AS (SELECT item_id, count(*) AS size FROM i GROUP BY item_id),
+h AS (SELECT DISTINCT doc_id FROM (SELECT item_id, doc_id, count(*) AS hits FROM d JOIN i USING (g) GROUP BY ALL) JOIN z USING (item_id) WHERE hits >= size * 0.8::DOUBLE),
+b AS (SELECT DISTINCT {NORM} AS norm FROM benchmark WHERE {NORM} <> ''),
+t AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE {NORM} IN (SELECT norm FROM b)) AS n_exact, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM h)) AS n_contained FROM documents GROUP BY source)
+SELECT *, {r2('n_contained * 100.0::DOUBLE / n')} AS pct_contained, CASE WHEN n_contained::DOUBLE / n >= 0.2::DOUBLE THEN 'in_distribution' WHEN n_contained > 0 THEN 'near' ELSE 'out_of_distribution' END AS kind FROM t"""
+)
+def external_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.external_overlap(spread(docs(spark, sf, "doc_id", "text", "source"), "doc_id"), table(spark, sf, "benchmark"), "source")
+
+
 @R.add(
     f"""WITH s AS (SELECT lang, source, count(*) AS z FROM documents GROUP BY ALL), q AS (SELECT *, {r2('100 * z::DOUBLE / sum(z) OVER ()', 0)}::BIGINT AS quota FROM s),
 r AS (SELECT doc_id, lang, source, {H0} AS h, row_number() OVER (PARTITION BY lang, source ORDER BY {H0}, doc_id) AS k FROM documents)
@@ -271,7 +312,7 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     """WITH d AS (SELECT doc_id AS id, source AS g, lang AS l, lower(split_part(text, ' ', 1)) AS c FROM documents),
-p AS (SELECT a.id, b.id AS negative, row_number() OVER (PARTITION BY a.id ORDER BY (a.c = b.c) DESC, md5('0|' || b.id::VARCHAR), b.id) AS rank FROM d a JOIN d b ON a.g = b.g AND a.l <> b.l WHERE a.id % 10 = 0)
+p AS (SELECT a.id, b.id AS negative, row_number() OVER (PARTITION BY a.id ORDER BY CASE WHEN a.g = b.g AND a.c = b.c THEN 0 WHEN a.g = b.g THEN 1 ELSE 2 END, md5('0|' || b.id::VARCHAR), b.id) AS rank FROM d a JOIN d b ON a.l <> b.l)
 SELECT id, negative, rank::INTEGER AS rank FROM p WHERE rank <= 3"""
 )
 def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,6 +346,38 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return splits.interval(splits.bootstrap(table(spark, sf, "labels"), "doc_id", "quality", 200))
 
 
-@R.add("SELECT doc_id, left(lang || source, 3) AS head FROM documents WHERE doc_id % 100 = 3")
+def _boot(unit: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', 0, replicate, {unit})), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE"
+
+
+BOUNDS = "k AS (SELECT mean, row_number() OVER (ORDER BY mean) AS k FROM m) SELECT max(CASE WHEN k = floor(0.025 * 200) + 1 THEN mean END) AS low, max(CASE WHEN k = floor(0.975 * 200) + 1 THEN mean END) AS high FROM k"
+TIMES = " + ".join(f"(u >= {c}::DOUBLE)::INTEGER" for c in CUTS)
+
+
+@R.add(
+    f"""WITH c AS (SELECT conv_id, sum(length(text))::DOUBLE AS total, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+d AS (SELECT replicate, total, n, {TIMES} AS copies FROM (SELECT *, {_boot('conv_id')} AS u FROM c, range(1, 201) r(replicate))),
+m AS (SELECT replicate, {r2('sum(copies * total)::DOUBLE / sum(copies * n)::DOUBLE', 6)} AS mean FROM d GROUP BY replicate), {BOUNDS}"""
+)
+def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean length of a turn; whole conversations are drawn."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.length("text").alias("n_chars"))
+    return splits.interval(splits.cluster_bootstrap(turns, "conv_id", "n_chars", 200))
+
+
+@R.add(
+    f"""WITH v AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS arm, (event_id % 3 = 0)::INTEGER::DOUBLE AS won FROM events),
+p AS (SELECT user_id, avg(won) FILTER (WHERE arm = 'a') - avg(won) FILTER (WHERE arm = 'b') AS delta FROM v GROUP BY user_id HAVING delta IS NOT NULL),
+d AS (SELECT replicate, delta, {TIMES} AS copies FROM (SELECT *, {_boot('user_id')} AS u FROM p, range(1, 201) r(replicate))),
+m AS (SELECT replicate, {r2('sum(copies * delta)::DOUBLE / sum(copies)::DOUBLE', 6)} AS mean FROM d GROUP BY replicate), {BOUNDS}"""
+)
+def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The difference of two arms' success over the users that have both; users are drawn with both."""
+    runs = table(spark, sf, "events").select("user_id", F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("arm"), (F.col("event_id") % 3 == 0).cast("double").alias("won"))
+    deltas = splits.paired_deltas(runs, "user_id", "arm", "a", "b", "won")
+    return splits.interval(splits.bootstrap(deltas, "user_id", "delta", 200))
+
+
+@R.add("SELECT doc_id, left(lang || source, 3) AS head FROM documents")
 def truncated_keys(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf, "doc_id", "lang", "source").select("doc_id", F.left(F.concat("lang", "source"), F.lit(3)).alias("head"))
