@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lm
 from ..operators import corpus, graph
-from ..plans import lifting, program
+from ..plans import isa, lifting, program
 from ..plans.engine import Engine
 from ..sources import generators
 from . import Registry, table
@@ -52,29 +53,61 @@ def program_branch(spark: SparkSession, sf: str) -> DataFrame:
     return Engine(spark, {}).run(program.parse(BRANCH), {"@rows": rows}).value
 
 
-@R.add("SELECT 'program' AS program_id, 4::BIGINT AS n_ok, 31.0::DOUBLE AS latency_ms, 0::BIGINT AS n_skipped")
+TRACED = ("FILTER", "TRANSFORM", "EXTRACT", "ARGMAX")
+
+
+@R.add(
+    f"""WITH c(ms, tokens) AS (VALUES {', '.join(f'({isa.TABLE[o].latency_ms}::DOUBLE, {isa.TABLE[o].tokens_in + isa.TABLE[o].tokens_out})' for o in TRACED)})
+SELECT 'program' AS program_id, count(*) AS n_ok, sum(ms) AS latency_ms, sum(tokens)::BIGINT AS tokens, 0::BIGINT AS n_skipped FROM c"""
+)
 def program_trace(spark: SparkSession, sf: str) -> DataFrame:
-    """Trace totals of a run: filter, extract, sort, sum (nominal costs)."""
+    """Trace totals of a run over the orders: the nominal costs of its four operations."""
     text = '%a = FILTER(@r, predicate="o_totalprice > 0")\n%b = TRANSFORM(%a, op={"x": "o_totalprice * 2"})\n%c = EXTRACT(%b, fields=["x"])\n%d = ARGMAX(%c, key="x")\nreturn %d'
     run = Engine(spark, {}).run(program.parse("inputs: @r: List[Any]\n" + text), {"@r": table(spark, sf, "orders").select("o_totalprice")})
     totals = corpus.trace_totals(run.trace(spark, "program"))
     events = run.trace(spark, "program").groupBy("program_id").agg(F.count_if(F.col("status") == "ok").alias("n_ok"))
-    return totals.join(events, "program_id").select("program_id", "n_ok", (F.col("latency_ms") + 7).alias("latency_ms"), "n_skipped")
+    return totals.join(events, "program_id").select("program_id", "n_ok", "latency_ms", (F.col("tokens_in") + F.col("tokens_out")).cast("long").alias("tokens"), "n_skipped")
 
 
-def _generated(spark: SparkSession, sf: str) -> DataFrame:
-    return generators.programs(spark, 500)
+STEPS = ("FILTER", "SORT", "DEDUP")
 
 
-@R.add()
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, text): a program an order, a step a line; a step reads the line before, or the first one where that line's
+    quantity is 25 or more. Programs of every tenth order lack a bracket."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    first, before = F.first("l_linenumber").over(order), F.lag("l_linenumber").over(order)
+    source = F.when(F.lag("q").over(order) < 25, before).otherwise(first)
+    params = F.array(F.lit(', predicate="v > 1")'), F.lit(', key="v")'), F.lit(")"))
+    kind = F.pmod(F.col("l_linenumber"), 3).cast("int") + 1
+    step = F.concat(F.lit(" = "), F.element_at(F.array(*[F.lit(s) for s in STEPS]), kind), F.lit("(%n"), source.cast("string"), F.element_at(params, kind))
+    told = lines.select("l_orderkey", "l_linenumber", F.concat(F.lit("%n"), F.col("l_linenumber").cast("string"), F.when(before.isNull(), F.lit(' = LOAD("rows")')).otherwise(step)).alias("line"))
+    whole = told.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("lines"), F.max("l_linenumber").alias("last"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    broken = F.when(F.col("l_orderkey") % 10 == 0, "\n%bad = SORT(%n1").otherwise("")
+    return whole.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("; program v0.1  module=m\n"), body, broken, F.lit("\nreturn %n"), F.col("last").cast("string")).alias("text"))
+
+
+PARSED = f"""n AS (SELECT l_orderkey, l_linenumber AS pos, max(l_quantity) AS q, lag(l_linenumber) OVER w AS before, min(l_linenumber) OVER w AS head, lag(max(l_quantity)) OVER w AS bq
+  FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY l_orderkey, l_linenumber WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+e AS (SELECT l_orderkey, CASE WHEN bq < 25 THEN before ELSE head END AS src, pos AS dst FROM n WHERE before IS NOT NULL)"""
+
+
+@R.add(
+    f"WITH {PARSED} SELECT CASE WHEN before IS NULL THEN 'LOAD' ELSE {list(STEPS)}[pos % 3 + 1] END AS op, count(*) AS n FROM n GROUP BY 1 UNION ALL SELECT 'fault', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 10 = 0"
+)
 def parsed_programs(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, _, faults = program.parse_table(_generated(spark, sf), "id", "text")
+    nodes, _, faults = program.parse_table(_texts(spark, sf), "id", "text")
     return corpus.histogram(nodes, "op").unionByName(corpus.histogram(faults.select(F.lit("fault").alias("op")), "op"))
 
 
-@R.add()
+@R.add(
+    f"""WITH RECURSIVE {PARSED}, d AS (SELECT l_orderkey, pos, 1 AS depth FROM n WHERE before IS NULL UNION ALL SELECT d.l_orderkey, e.dst, depth + 1 FROM d JOIN e ON e.l_orderkey = d.l_orderkey AND e.src = d.pos),
+w AS (SELECT l_orderkey, depth, count(*) AS c FROM d GROUP BY ALL) SELECT l_orderkey::VARCHAR AS program_id, sum(c)::BIGINT AS n_nodes, max(depth)::BIGINT AS depth, max(c) AS width FROM w GROUP BY l_orderkey"""
+)
 def parsed_program_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges, _ = program.parse_table(_generated(spark, sf), "id", "text")
+    nodes, edges, _ = program.parse_table(_texts(spark, sf), "id", "text")
     return graph.depth_and_width(nodes, edges)
 
 

@@ -163,3 +163,51 @@ def test_components_in_rounds_and_in_one_task(spark, tmp_path, few):
                 label[a] = label[b] = min(label[a], label[b])
     found = components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "test"), few)
     assert {r.node: r.component for r in found.collect()} == label
+
+
+def test_best_matches_are_best_at_every_size(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    rows, best = [], {}
+    for group in range(40):
+        n, m = rng.randint(1, 6), rng.randint(1, 6)
+        score = {(i, j): rng.choice([0.0, 0.25, 0.5, rng.random()]) for i in range(n) for j in range(m) if rng.random() < 0.8}
+        rows += [(f"g{group}", i, j, s) for (i, j), s in score.items()]
+        small, large = (range(n), range(m)) if n <= m else (range(m), range(n))
+        totals = []
+        for chosen in itertools.permutations(large, len(small)):
+            own = [score.get((a, b) if n <= m else (b, a)) for a, b in zip(small, chosen, strict=True)]
+            totals.append((sum(s for s in own if s is not None), sum(s is not None for s in own)))
+        best[f"g{group}"] = max((round(t, 6), k) for t, k in totals)
+    rows += [("big", i, j, 1.0 if i == j else 0.9 if j == i + 1 else 0.1) for i in range(30) for j in range(30)]
+    rows += [("trap", 0, 0, 1.0), ("trap", 0, 1, 0.9), ("trap", 1, 0, 0.9), *[("trap", i, i, 0.0) for i in range(2, 13)]]
+    found = metrics.best_matches(spark.createDataFrame(rows, "g string, gold long, found long, score double"), "g").collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.g, []).append(r)
+    for g, own in by.items():
+        assert len({r.gold for r in own}) == len({r.found for r in own}) == len(own)
+        if g in best:
+            assert (round(sum(r.score for r in own), 6), len(own)) == best[g]
+    assert sum(r.score for r in by["big"]) == 30 and sum(r.score for r in by["trap"]) == 1.8
+
+
+def test_exact_tails_of_large_numbers(spark):
+    import math
+    from fractions import Fraction
+
+    for b, c in ((1, 8), (40, 60), (5, 300), (450, 550), (0, 12), (7, 7)):
+        n, k = b + c, min(b, c)
+        exact = min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n)))
+        assert metrics.mcnemar_p(b, c) == pytest.approx(exact, rel=1e-9)
+    assert metrics.mcnemar_p(499_000, 501_000) == pytest.approx(0.0456, abs=2e-4)  # a million pairs, by the normal law
+    low, high = metrics.clopper_pearson(spark.createDataFrame([(300_000, 1_000_000)], "k long, n long"), "k", "n").select("low", "high").first()
+    assert low == pytest.approx(0.299102, abs=2e-5) and high == pytest.approx(0.3009, abs=2e-5)
+
+
+def test_texts_without_words_are_not_contaminated(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "!!"), (4, "a b c"), (5, "x a b c y")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " - "), (8, "A b, c"), (9, None)], "item_id long, text string")
+    assert {(r.item_id, r.doc_id) for r in neardup.contamination(docs, items).collect()} == {(8, 4)}

@@ -228,3 +228,41 @@ def test_parse_table(spark):
     assert nodes.count() == 3 and nodes.where("is_output").first().node == "%b"
     assert {(r.src, r.dst, r.kind) for r in edges.collect()} == {("%a", "%v", "input"), ("%a", "%b", "bind"), ("%a", "%b", "after"), ("%v", "%b", "guard")}
     assert faults.first().program_id == "bad"
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_long_chains_and_cycles(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    n = 1500 if small else 12  # in rounds a shorter one: each is a job
+    rows = [("chain", f"n{i}") for i in range(n)] + [("ring", x) for x in "abcd"]
+    links = [("chain", f"n{i}", f"n{i + 1}") for i in range(n - 1)] + [("ring", "a", "b"), ("ring", "b", "c"), ("ring", "c", "b"), ("ring", "c", "d"), ("ring", "x", "a")]
+    nodes, edges = spark.createDataFrame(rows, "program_id string, node string"), spark.createDataFrame(links, "program_id string, src string, dst string")
+    assert {(r.program_id, r.depth) for r in graph.depth_and_width(nodes, edges).collect()} == {("chain", n), ("ring", 1)}
+    assert [(r.program_id, r.n_stuck) for r in graph.cyclic_programs(nodes, edges).collect()] == [("ring", 3)]
+    starts = spark.createDataFrame([("chain", "n3"), ("ring", "b")], "program_id string, node string")
+    reached = graph.reachable(edges, starts).collect()
+    assert sum(r.program_id == "chain" for r in reached) == n - 3 and {r.node for r in reached if r.program_id == "ring"} == {"b", "c", "d"}
+    back = graph.reachable(edges, starts, forward=False).collect()
+    assert sum(r.program_id == "chain" for r in back) == 4 and {r.node for r in back if r.program_id == "ring"} == {"a", "b", "c", "x"}
+
+
+def test_heft_with_weights_of_zero(spark):
+    nodes = spark.createDataFrame([("p", n, i, 0.0) for i, n in enumerate("zyx")], "program_id string, node string, pos int, weight double")
+    edges = spark.createDataFrame([("p", "z", "y", 0.0), ("p", "y", "x", 0.0)], "program_id string, src string, dst string, cost double")
+    assert {r.node: r.end_ms for r in graph.heft_schedule(nodes, edges).collect()} == {"x": 0.0, "y": 0.0, "z": 0.0}
+
+
+def test_producers_through_long_chains(spark):
+    rows = [("p", "a", "LOAD")] + [("p", f"f{i}", "EXTRACT_FIELD") for i in range(11)]
+    links = [("p", "a", "f0")] + [("p", f"f{i}", f"f{i + 1}") for i in range(10)]
+    nodes, edges = spark.createDataFrame(rows, "program_id string, node string, op string"), spark.createDataFrame(links, "program_id string, src string, dst string")
+    assert {r.producer for r in graph.producers(nodes, edges).collect()} == {"a"} and graph.producers(nodes, edges).count() == 11
+    with pytest.raises(ValueError, match="cycle"):
+        graph.producers(nodes, edges.unionByName(spark.createDataFrame([("p", "f3", "f1")], edges.schema)).where("src <> 'f0' OR dst <> 'f1'"))
+
+
+def test_rtl_samples_are_lifted(spark):
+    from millrace.sources import generators
+
+    found = lifting.corpus(generators.samples(spark, 200)).where("source = 'rtl'").collect()
+    assert found and all(r.valid and "CODEGEN" in r.text and "VERIFY" in r.text for r in found)
