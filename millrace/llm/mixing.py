@@ -181,8 +181,8 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(measured documents with their repeats, the plan by source).
 
-    Null sources are a source of their own, last in order; null and blank texts have size 0 and are never
-    taken; an empty table gives an empty mix. Rows equal in id and text are taken or left together. The
+    Null sources are a source of their own, last in order; null and blank texts have size 0, so no word
+    of them is taken; an empty table gives an empty mix. Rows equal in id and text are taken or left together. The
     words taken from a source stay at or below its target; what is missing is less than any document left out
     holds. Columns of any further names do not matter: only the three are read."""
     scratch = Scratch(docs.sparkSession, "mix")
@@ -192,7 +192,8 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """``docs`` as the mix takes them: a row as often as it is repeated, left out at 0; the same columns."""
+    """``docs`` as the mix takes them: a row as often as it is repeated, left out at 0; the same columns. Rows of size 0
+    come as often as all of their source does."""
     scratch = Scratch(docs.sparkSession, "mix")
     plan = plan_mix(scratch.save(measure(docs, "doc_id", "source", "text", seed)), scratch)
     packed = docs.select(
