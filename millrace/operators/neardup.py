@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,18 +17,38 @@ from .components import components
 PERMUTATIONS = 32
 BANDS = 8
 NEAR = 0.8
+#: Tokens whose hashes are held at a time, 256 bytes each.
+TOKENS = 100_000
+
+
+def _least_hashes(permutations: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id, words) -> (id, sig): a token is hashed once for all seeds, however often a batch holds it."""
+        seeds = [f"{s}|".encode() for s in range(permutations)]
+        for batch in batches:
+            words = batch.column(1)
+            coded = words.flatten().dictionary_encode()
+            told = b"".join(hashlib.md5(s + t).digest()[:8] for t in (w.encode() for w in coded.dictionary.to_pylist()) for s in seeds)
+            hashes = np.frombuffer(told, ">u8").astype(np.uint64).reshape(-1, permutations)
+            which, cuts = coded.indices.to_numpy(), np.asarray(words.offsets) - words.offsets[0].as_py()
+            least = np.empty((batch.num_rows, permutations), np.uint64)
+            first = 0
+            while first < batch.num_rows:  # so many rows that their tokens' hashes stay small
+                end = max(first + 1, int(np.searchsorted(cuts, cuts[first] + TOKENS)) - 1)
+                least[first:end] = np.minimum.reduceat(hashes[which[cuts[first] : cuts[end]]], cuts[first:end] - cuts[first])
+                first = end
+            sig = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * permutations, pa.array([f"{x:016x}" for x in least.ravel().tolist()], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sig], ["id", "sig"])
+
+    return run
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(id, sig): the least hash of the text's tokens under each seed, as 16 hex digits; a text without
-    tokens counts as the token <empty>."""
+    """(id, sig): the least hash of the text's tokens under each seed (the first 16 hex digits of md5 of 'seed|token'; equal
+    widths, so text order is numeric order); a text without tokens counts as the token <empty>."""
     words = T.token_set(F.col(text_col))
     told = df.select(F.col(id_col).alias("id"), F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("<empty>"))).alias("words"))
-
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("words", lambda t: T.token_hash(seed, t)))
-
-    return told.select("id", F.array(*[least(s) for s in range(permutations)]).alias("sig"))
+    return told.mapInArrow(_least_hashes(permutations), f"id {told.schema['id'].dataType.simpleString()}, sig array<string>")
 
 
 def band_keys(signed: DataFrame, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
