@@ -14,12 +14,33 @@ def hash_order(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
+def _before(df: DataFrame, by: list[str], order: Column, tiebreak: str, size: Column) -> DataFrame:
+    """``df`` with ``_before``, the sizes of the group's rows that come earlier by (order, tiebreak), and ``_total``, those of
+    all. ``order`` is a hash in hex digits: sums run over its 65,536 leading cells first, then inside each cell, so no
+    task sees a whole group."""
+    cell = F.substring(order, 1, 4)
+    told = df.withColumn("_order", order).withColumn("_cell", cell).withColumn("_size", size)
+    cells = told.groupBy(*by, "_cell").agg(F.sum("_size").alias("_n"))
+    group = Window.partitionBy(*by)
+    sums = cells.select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+        F.col("_cell").alias("_in"),
+        (F.sum("_n").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_under"),
+        F.sum("_n").over(group).alias("_total"),
+    )
+    same = F.col("_cell") == F.col("_in")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inner = Window.partitionBy(*by, "_cell").orderBy("_order", tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = told.join(sums, same).withColumn("_before", F.col("_under") + F.sum("_size").over(inner) - F.col("_size"))
+    return placed.drop("_order", "_cell", "_size", "_in", "_under", *[f"_by{i}" for i in range(len(by))])
+
+
 def exact_split(df: DataFrame, id_col: str, ratio: float, seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """``val`` for exactly max(1, floor(n * ratio)) rows (of each group), the first by hash, else ``train``."""
-    spec = Window.partitionBy(*(by or []))
-    rank = F.row_number().over(spec.orderBy(hash_order(id_col, seed), id_col))
-    quota = F.greatest(F.lit(1), F.floor(F.count("*").over(spec) * ratio))
-    return df.withColumn("split", F.when(rank <= quota, "val").otherwise("train"))
+    placed = _before(df, by or [], hash_order(id_col, seed), id_col, F.lit(1))
+    quota = F.greatest(F.lit(1), F.floor(F.col("_total") * ratio))
+    return placed.withColumn("split", F.when(F.col("_before") < quota, "val").otherwise("train")).drop("_before", "_total")
 
 
 def bucket_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
@@ -35,7 +56,8 @@ def bucket_split(df: DataFrame, key: str, shares: dict[str, float], seed: int =
 
 def greedy_family_split(sizes: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """(family, n) -> (family, n, split): families in hash order, each to the split with the largest relative
-    deficit. The walk is sequential over family sizes (not rows), so it runs in one task."""
+    deficit. The walk is sequential over family sizes (16 bytes each, not rows), so it runs in one task: it is meant for up
+    to some 10^8 families, beyond which ``cumulative_family_split`` or ``bucket_split`` serve."""
     total = sizes.agg(F.sum("n")).first()[0] or 0
     caps = {s: total * x for s, x in shares.items()}
 
@@ -56,14 +78,13 @@ def greedy_family_split(sizes: DataFrame, shares: dict[str, float], seed: int =
 
 def cumulative_family_split(sizes: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """Families in hash order, cut where their running size passes the shares."""
-    order = Window.orderBy(hash_order("family", seed), "family")
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    place = before / F.sum("n").over(Window.partitionBy())
+    placed = _before(sizes, [], hash_order("family", seed), "family", F.col("n"))
+    place = F.col("_before") / F.col("_total")
     out, upto, names = F, 0.0, list(shares)
     for name in names[:-1]:
         upto += shares[name]
         out = out.when(place < upto, F.lit(name))
-    return sizes.withColumn("split", out.otherwise(F.lit(names[-1])))
+    return placed.withColumn("split", out.otherwise(F.lit(names[-1]))).drop("_before", "_total")
 
 
 def stratified_sample(df: DataFrame, id_col: str, strata: list[str], n: int, seed: int = 0) -> DataFrame:

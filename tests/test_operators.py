@@ -211,3 +211,14 @@ def test_texts_without_words_are_not_contaminated(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "!!"), (4, "a b c"), (5, "x a b c y")], "doc_id long, text string")
     items = spark.createDataFrame([(7, " - "), (8, "A b, c"), (9, None)], "item_id long, text string")
     assert {(r.item_id, r.doc_id) for r in neardup.contamination(docs, items).collect()} == {(8, 4)}
+
+
+def test_exact_split_of_groups_with_nulls_and_few_rows(spark):
+    import hashlib
+
+    rows = [(i, [None, "a", "b", "b"][i % 4] if i < 200 else "hot") for i in range(1000)] + [(5000, "one")]
+    found = splits.exact_split(spark.createDataFrame(rows, "id long, g string"), "id", 0.1, by=["g"]).collect()
+    for g in (None, "a", "b", "hot", "one"):
+        own = sorted((r.id for r in found if r.g == g), key=lambda i: hashlib.md5(f"0|{i}".encode()).hexdigest())
+        assert {r.id for r in found if r.g == g and r.split == "val"} == set(own[: max(1, len(own) // 10)])
+    assert len(found) == 1001 and found[0].asDict().keys() == {"id", "g", "split"}
