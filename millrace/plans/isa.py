@@ -6,45 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Op | class | input types | fewest, most inputs (* any) | output rule | resource class |
-# latency ms | tokens in | tokens out. Energy and memory follow from the class below.
-_ROWS = """
-LOAD | io | Str | 1 1 | FIXED:Any | python | 20 | 0 | 0
-SAVE | io | Any | 1 1 | FIXED:Any | python | 20 | 0 | 0
-SEARCH | retrieval | Str, Any | 1 2 | FIXED:List[Any] | api | 120 | 0 | 0
-FETCH | retrieval | Str | 1 1 | FIXED:Str | api | 150 | 0 | 0
-QUERY_DB | retrieval | Str | 1 1 | FIXED:Table | db | 40 | 0 | 0
-FILTER | transform | List[Any] | 1 1 | SAME_AS:0 | python | 5 | 0 | 0
-TRANSFORM | transform | List[Any] | 1 1 | SAME_AS:0 | python | 10 | 0 | 0
-EXTRACT | transform | Any | 1 1 | FIXED:Any | python | 8 | 0 | 0
-DEDUP | transform | List[Any] | 1 1 | SAME_AS:0 | python | 3 | 0 | 0
-SORT | transform | List[Any] | 1 1 | SAME_AS:0 | python | 4 | 0 | 0
-JOIN | transform | List[Any], List[Any] | 2 2 | FIXED:List[Any] | python | 8 | 0 | 0
-MERGE | transform | Any, Any | 2 2 | SAME_AS:0 | python | 2 | 0 | 0
-ARGMIN | compute | List[Any] | 1 1 | ITEM_OF:0 | python | 1 | 0 | 0
-ARGMAX | compute | List[Any] | 1 1 | ITEM_OF:0 | python | 1 | 0 | 0
-MIN | compute | List[Any] | 1 1 | ITEM_OF:0 | python | 1 | 0 | 0
-MAX | compute | List[Any] | 1 1 | ITEM_OF:0 | python | 1 | 0 | 0
-SUM | compute | List[Float] | 1 1 | FIXED:Float | python | 1 | 0 | 0
-AVG | compute | List[Float] | 1 1 | FIXED:Float | python | 1 | 0 | 0
-COUNT | compute | List[Any] | 1 1 | FIXED:Int | python | 1 | 0 | 0
-CALCULATE | compute | Float | 0 * | FIXED:Float | python | 1 | 0 | 0
-COMPARE | compute | Any, Any | 2 2 | FIXED:Bool | python | 1 | 0 | 0
-CONVERT | compute | Float | 0 1 | FIXED:Float | api | 80 | 0 | 0
-GENERATE | lm | Any | 1 * | FIXED:Str | lm | 600 | 800 | 300
-SUMMARIZE | lm | Str | 1 1 | FIXED:Str | lm | 400 | 2000 | 300
-TRANSLATE | lm | Str | 1 1 | FIXED:Str | lm | 500 | 1000 | 1000
-CLASSIFY | lm | Any | 1 1 | FIXED:Str | lm | 200 | 600 | 5
-EXTRACT_ENTITIES | lm | Any | 1 1 | FIXED:List[Entity] | lm | 300 | 1000 | 200
-CODEGEN | lm | Any | 1 * | FIXED:Str | lm | 900 | 1000 | 600
-PLAN | lm | Str | 1 1 | FIXED:Json | lm | 500 | 600 | 400
-SEND | action | Str | 1 1 | FIXED:Any | api | 100 | 0 | 0
-EXEC_ACTION | action | Any | 0 * | FIXED:Any | api | 150 | 0 | 0
-EXTRACT_FIELD | control | Any | 1 1 | FIXED:Any | runtime | 0.001 | 0 | 0
-MAKE_LIST | control | Any | 1 * | FIXED:List[Any] | runtime | 0.001 | 0 | 0
-VERIFY | control | Any | 1 * | FIXED:Bool | lm | 50 | 400 | 1
-SELECT | control | Bool, Any, Any | 3 3 | SAME_AS:1 | runtime | 0.1 | 0 | 0
-"""
 # Nominal cost of a single-shot answer by a 70B model.
 BASELINE_LATENCY_MS = 2500.0
 BASELINE_ENERGY_J = 900.0
@@ -92,16 +53,6 @@ class Op:
         return given if rule == "SAME_AS" else item_of(given)
 
 
-def _parse(rows: str) -> dict[str, Op]:
-    out = {}
-    for line in rows.strip().splitlines():
-        op, cls, types, arity, rule, resource, latency, t_in, t_out = (x.strip() for x in line.split("|"))
-        fewest, most = arity.split()
-        inputs = tuple(t.strip() for t in types.split(","))
-        out[op] = Op(op, cls, inputs, int(fewest), None if most == "*" else int(most), rule, resource, float(latency), int(t_in), int(t_out))
-    return out
-
-
 def item_of(type_name: str) -> str:
     for kind in ("List[", "Set["):
         if type_name.startswith(kind) and type_name.endswith("]"):
@@ -133,7 +84,46 @@ def _arguments(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
-TABLE = _parse(_ROWS)
+# Operation, class, input types, fewest and most inputs (None: any number), output rule, resource class,
+# latency in ms, tokens in and out. Energy and memory follow from the class.
+OPERATIONS = (
+    Op("LOAD", "io", ("Str",), 1, 1, "FIXED:Any", "python", 20.0, 0, 0),
+    Op("SAVE", "io", ("Any",), 1, 1, "FIXED:Any", "python", 20.0, 0, 0),
+    Op("SEARCH", "retrieval", ("Str", "Any"), 1, 2, "FIXED:List[Any]", "api", 120.0, 0, 0),
+    Op("FETCH", "retrieval", ("Str",), 1, 1, "FIXED:Str", "api", 150.0, 0, 0),
+    Op("QUERY_DB", "retrieval", ("Str",), 1, 1, "FIXED:Table", "db", 40.0, 0, 0),
+    Op("FILTER", "transform", ("List[Any]",), 1, 1, "SAME_AS:0", "python", 5.0, 0, 0),
+    Op("TRANSFORM", "transform", ("List[Any]",), 1, 1, "SAME_AS:0", "python", 10.0, 0, 0),
+    Op("EXTRACT", "transform", ("Any",), 1, 1, "FIXED:Any", "python", 8.0, 0, 0),
+    Op("DEDUP", "transform", ("List[Any]",), 1, 1, "SAME_AS:0", "python", 3.0, 0, 0),
+    Op("SORT", "transform", ("List[Any]",), 1, 1, "SAME_AS:0", "python", 4.0, 0, 0),
+    Op("JOIN", "transform", ("List[Any]", "List[Any]"), 2, 2, "FIXED:List[Any]", "python", 8.0, 0, 0),
+    Op("MERGE", "transform", ("Any", "Any"), 2, 2, "SAME_AS:0", "python", 2.0, 0, 0),
+    Op("ARGMIN", "compute", ("List[Any]",), 1, 1, "ITEM_OF:0", "python", 1.0, 0, 0),
+    Op("ARGMAX", "compute", ("List[Any]",), 1, 1, "ITEM_OF:0", "python", 1.0, 0, 0),
+    Op("MIN", "compute", ("List[Any]",), 1, 1, "ITEM_OF:0", "python", 1.0, 0, 0),
+    Op("MAX", "compute", ("List[Any]",), 1, 1, "ITEM_OF:0", "python", 1.0, 0, 0),
+    Op("SUM", "compute", ("List[Float]",), 1, 1, "FIXED:Float", "python", 1.0, 0, 0),
+    Op("AVG", "compute", ("List[Float]",), 1, 1, "FIXED:Float", "python", 1.0, 0, 0),
+    Op("COUNT", "compute", ("List[Any]",), 1, 1, "FIXED:Int", "python", 1.0, 0, 0),
+    Op("CALCULATE", "compute", ("Float",), 0, None, "FIXED:Float", "python", 1.0, 0, 0),
+    Op("COMPARE", "compute", ("Any", "Any"), 2, 2, "FIXED:Bool", "python", 1.0, 0, 0),
+    Op("CONVERT", "compute", ("Float",), 0, 1, "FIXED:Float", "api", 80.0, 0, 0),
+    Op("GENERATE", "lm", ("Any",), 1, None, "FIXED:Str", "lm", 600.0, 800, 300),
+    Op("SUMMARIZE", "lm", ("Str",), 1, 1, "FIXED:Str", "lm", 400.0, 2000, 300),
+    Op("TRANSLATE", "lm", ("Str",), 1, 1, "FIXED:Str", "lm", 500.0, 1000, 1000),
+    Op("CLASSIFY", "lm", ("Any",), 1, 1, "FIXED:Str", "lm", 200.0, 600, 5),
+    Op("EXTRACT_ENTITIES", "lm", ("Any",), 1, 1, "FIXED:List[Entity]", "lm", 300.0, 1000, 200),
+    Op("CODEGEN", "lm", ("Any",), 1, None, "FIXED:Str", "lm", 900.0, 1000, 600),
+    Op("PLAN", "lm", ("Str",), 1, 1, "FIXED:Json", "lm", 500.0, 600, 400),
+    Op("SEND", "action", ("Str",), 1, 1, "FIXED:Any", "api", 100.0, 0, 0),
+    Op("EXEC_ACTION", "action", ("Any",), 0, None, "FIXED:Any", "api", 150.0, 0, 0),
+    Op("EXTRACT_FIELD", "control", ("Any",), 1, 1, "FIXED:Any", "runtime", 0.001, 0, 0),
+    Op("MAKE_LIST", "control", ("Any",), 1, None, "FIXED:List[Any]", "runtime", 0.001, 0, 0),
+    Op("VERIFY", "control", ("Any",), 1, None, "FIXED:Bool", "lm", 50.0, 400, 1),
+    Op("SELECT", "control", ("Bool", "Any", "Any"), 3, 3, "SAME_AS:1", "runtime", 0.1, 0, 0),
+)
+TABLE = {o.op: o for o in OPERATIONS}
 
 
 def cost_table(spark: SparkSession) -> DataFrame:

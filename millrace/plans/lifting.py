@@ -16,27 +16,27 @@ from .validator import validate
 
 # Fixed values: (pattern on the tool's name, op, fixed parameter, how sure), first match counts.
 TOOL_RULES = (
-    ("flight", "SEARCH", "domain=flight", "exact"),
-    ("hotel|lodging|accommodation", "SEARCH", "domain=hotel", "exact"),
-    ("weather|forecast", "SEARCH", "domain=weather", "exact"),
-    ("news|article", "SEARCH", "domain=news", "exact"),
-    ("map|direction|route|navigat", "SEARCH", "domain=maps", "exact"),
-    ("restaurant|food|recipe", "SEARCH", "domain=product", "exact"),
-    ("stock|market|ticker|quote", "QUERY_DB", "table=market", "exact"),
-    ("currency|convert.*money|exchange.*rate", "CONVERT", "", "exact"),
-    ("calendar|event|meeting|appointment|schedule", "EXEC_ACTION", "action=create_event", "exact"),
-    ("book|reserv|order|purchase|buy|checkout", "EXEC_ACTION", "action=book", "exact"),
-    ("translat", "TRANSLATE", "", "exact"),
-    ("summar", "SUMMARIZE", "", "exact"),
-    ("entit|ner", "EXTRACT_ENTITIES", "", "exact"),
-    ("classif|categor|label", "CLASSIFY", "", "exact"),
-    ("code|program|script", "CODEGEN", "", "exact"),
-    ("search|find|lookup", "SEARCH", "domain=web", "heuristic"),
-    ("email|mail", "SEND", "channel=email", "heuristic"),
-    ("sms|text|message|notify", "SEND", "channel=sms", "heuristic"),
-    ("calculat|math|comput|evaluate|arithmetic", "CALCULATE", "", "heuristic"),
-    ("database|sql|db|repo.*query", "QUERY_DB", "table=generic", "heuristic"),
-    ("fetch|download|get_|http|url", "FETCH", "", "heuristic"),
+    ("flight", "SEARCH", {"domain": "flight"}, "exact"),
+    ("hotel|lodging|accommodation", "SEARCH", {"domain": "hotel"}, "exact"),
+    ("weather|forecast", "SEARCH", {"domain": "weather"}, "exact"),
+    ("news|article", "SEARCH", {"domain": "news"}, "exact"),
+    ("map|direction|route|navigat", "SEARCH", {"domain": "maps"}, "exact"),
+    ("restaurant|food|recipe", "SEARCH", {"domain": "product"}, "exact"),
+    ("stock|market|ticker|quote", "QUERY_DB", {"table": "market"}, "exact"),
+    ("currency|convert.*money|exchange.*rate", "CONVERT", {}, "exact"),
+    ("calendar|event|meeting|appointment|schedule", "EXEC_ACTION", {"action": "create_event"}, "exact"),
+    ("book|reserv|order|purchase|buy|checkout", "EXEC_ACTION", {"action": "book"}, "exact"),
+    ("translat", "TRANSLATE", {}, "exact"),
+    ("summar", "SUMMARIZE", {}, "exact"),
+    ("entit|ner", "EXTRACT_ENTITIES", {}, "exact"),
+    ("classif|categor|label", "CLASSIFY", {}, "exact"),
+    ("code|program|script", "CODEGEN", {}, "exact"),
+    ("search|find|lookup", "SEARCH", {"domain": "web"}, "heuristic"),
+    ("email|mail", "SEND", {"channel": "email"}, "heuristic"),
+    ("sms|text|message|notify", "SEND", {"channel": "sms"}, "heuristic"),
+    ("calculat|math|comput|evaluate|arithmetic", "CALCULATE", {}, "heuristic"),
+    ("database|sql|db|repo.*query", "QUERY_DB", {"table": "generic"}, "heuristic"),
+    ("fetch|download|get_|http|url", "FETCH", {}, "heuristic"),
 )
 # Confidence of a mapping.
 CONFIDENCE = {"exact": 0.95, "heuristic": 0.70, "fallback": 0.30}
@@ -53,7 +53,7 @@ def map_tool(name: str, args: dict) -> tuple[str, dict, str]:
     for pattern, rule_op, fixed, sure in TOOL_RULES:
         if re.search(pattern, low):
             op, kind = rule_op, sure
-            own = dict([fixed.split("=")]) if fixed else {}
+            own = dict(fixed)
             break
     else:
         words = re.findall(r"[^.:_\-\s]+", low)
