@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import itertools
+import random
+import re
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +227,59 @@ def test_exact_split_of_groups_with_nulls_and_few_rows(spark):
         own = sorted((r.id for r in found if r.g == g), key=lambda i: hashlib.md5(f"0|{i}".encode()).hexdigest())
         assert {r.id for r in found if r.g == g and r.split == "val"} == set(own[: max(1, len(own) // 10)])
     assert len(found) == 1001 and found[0].asDict().keys() == {"id", "g", "split"}
+
+
+def purged(rows, priority, most=25, prefix=12, most_prefix=50, threshold=0.8, n=8):
+    """Ids that ``rare_gram_purge`` drops, by brute force over (id, text, split); an id has one split."""
+    words = [(i, re.sub("[^a-z0-9 ]", " ", (t or "").lower()).split()) for i, t, _ in rows]
+    grams, heads, split = defaultdict(set), defaultdict(list), {i: s for i, _, s in rows}
+    for i, w in words:
+        grams[i] |= {tuple(w[k : k + n]) for k in range(max(len(w) - n + 1, 1))} if w else set()
+        if w:
+            heads[tuple(w[:prefix])].append(i)
+    holders = defaultdict(set)
+    for i, own in grams.items():
+        for g in own:
+            holders[g].add(i)
+    groups = [h for h in holders.values() if len(h) <= most] + [set(h) for h in heads.values() if len(h) <= most_prefix]
+    out = set()
+    for group in groups:
+        for a, b in itertools.combinations(sorted(i for i in group if i is not None), 2):
+            both = len(grams[a] & grams[b])
+            if split[a] != split[b] and both > (len(grams[a]) + len(grams[b]) - both) * threshold:
+                out.add(a if priority[split[a]] > priority[split[b]] else b)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rare_gram_purge_by_brute_force(spark, kind):
+    rng = random.Random(7)
+    name = int if kind == "long" else "d{:03}".format
+    word = lambda: f"w{rng.randrange(400)}"
+    common = [word() for _ in range(30)]
+    bases = [[word() for _ in range(rng.choice([3, 7, 8, 9, 60, 200]))] for _ in range(60)]
+    rows = []
+    for k in range(400):
+        w = list(rng.choice(bases[:45] if k % 3 else bases[45:]))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            w[rng.randrange(len(w))] = word()
+        rows.append((name(k), " ".join(w + common * (k % 4 == 0)), ["train", "val", "test"][k % 7 % 3]))
+    rows += [(name(900), None, "val"), (name(901), " -- ", "train"), (None, " ".join(bases[0]), "test"), (None, " ".join(bases[1]), "test")]
+    rows += [(i, " ".join(rng.choice(bases)), s) for i, _, s in rows[:60]] + rows[60:90]  # ids that repeat
+    priority = {"val": 0, "test": 0, "train": 1}
+    wanted = purged(rows, priority)
+    df = spark.createDataFrame(rows, f"id {kind}, text string, split string")
+    got = [r.id for r in neardup.rare_gram_purge(df, "split", priority).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 20
+    assert purged(rows, priority, most=3, most_prefix=2) != wanted
+    assert {r.id for r in neardup.rare_gram_purge(df.repartition(3), "split", priority, most=3, most_prefix=2).collect()} == purged(rows, priority, most=3, most_prefix=2)
+
+
+def test_rare_gram_purge_moves_no_gram_texts(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"{rng.randrange(10**5):05}" for _ in range(600)), "val" if k % 5 else "train") for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, text string, split string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert neardup.rare_gram_purge(df, "split", {"val": 0, "train": 1}).count() == 0
+    assert 0 < written() - before < 6 * sum(len(t) for _, t, _ in rows)
