@@ -20,6 +20,8 @@ finest the groups are those of equal windows. So no group is paired with itself,
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import itertools
 import struct
@@ -45,6 +47,8 @@ HELD = 1 << 18
 STRETCH = 1 << 16
 #: Bytes handed over at a time, about.
 BATCH = 1 << 23
+#: Rows with texts, contexts or spans that Spark hands over at a time, at most.
+ROWS = 1000
 #: Bytes of a key's contexts beyond which they are split by the bytes around, and the grids of the splits.
 MOST = CHUNK
 GRIDS = (50, 10)
@@ -97,34 +101,37 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of ``s`` (integers from 1), by the difference cover {1, 2} modulo 3."""
+    """Order of all suffixes of ``s`` (integers from 1), by the difference cover {1, 2} modulo 3. Places and ranks take 4 bytes
+    each, keys 8; a key goes as soon as it is sorted."""
     n = len(s)
     if n < 8:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), dtype=np.int64)
-    t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
-    base = int(t.max()) + 1
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sampled = np.concatenate([ones, twos])
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), dtype=np.int32)
+    t = np.concatenate([s.astype(np.int32), np.zeros(3, np.int32)])
+    base = np.int64(int(t.max()) + 1)
+    sampled = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
     triples = (t[sampled] * base + t[sampled + 1]) * base + t[sampled + 2]
-    order = np.argsort(triples)
-    ordered = triples[order]
-    name = np.empty(len(sampled), np.int64)
-    name[order] = np.concatenate([[1], 1 + np.cumsum(ordered[1:] != ordered[:-1])])
+    order = np.argsort(triples).astype(np.int32)
+    triples = triples[order]
+    name = np.empty(len(sampled), np.int32)
+    name[order] = np.concatenate([[1], 1 + np.cumsum(triples[1:] != triples[:-1], dtype=np.int32)])
+    del triples
     if name.max() < len(sampled):
         order = suffix_array(name)
+    del name
     sample_order = sampled[order]
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample_order] = np.arange(1, len(sampled) + 1)
+    del order, sampled
+    rank = np.zeros(n + 3, np.int32)
+    rank[sample_order] = np.arange(1, len(sample_order) + 1, dtype=np.int32)
     sample_order = sample_order[sample_order < n]
 
-    zeros = np.arange(0, n, 3)
-    width = n + 4
+    zeros = np.arange(0, n, 3, dtype=np.int32)
+    width = np.int64(n + 4)
     zeros = zeros[np.argsort(t[zeros] * width + rank[zeros + 1])]
     one, two = sample_order[sample_order % 3 == 1], sample_order[sample_order % 3 == 2]
     before = np.searchsorted(t[one] * width + rank[one + 1], t[zeros] * width + rank[zeros + 1])
     pair = lambda i: (t[i] * base + t[i + 1]) * width + rank[i + 2]
     before = before + np.searchsorted(pair(two), pair(zeros))
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     at = np.arange(len(zeros)) + before
     free = np.ones(n, bool)
     free[at] = False
@@ -137,12 +144,13 @@ def repeats(segments: list[bytes]) -> list[np.ndarray]:
     lengths = np.array([len(x) for x in segments])
     joined = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    s = joined.astype(np.int64) + 2
+    s = joined.astype(np.int32) + 2
     s[starts + lengths] = 1
     order = suffix_array(s)
-    ends = np.repeat(starts + lengths, lengths + 1)
-    whole = np.arange(len(s)) + SPAN <= ends  # suffixes whose SPAN bytes lie in their segment
+    ends = np.repeat((starts + lengths).astype(np.int32), lengths + 1)
+    whole = np.arange(len(s), dtype=np.int32) + SPAN <= ends  # suffixes whose SPAN bytes lie in their segment
     order = order[whole[order]]
+    del ends, whole
     padded = np.concatenate([joined, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(joined), 8), (1, 1))
     word = np.ascontiguousarray(words).view(np.uint64)[:, 0]
@@ -166,6 +174,21 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _given_back(work):
+    """``work`` on batches, after which its process gives free memory back: workers stay for later stages, and an executor counts
+    with theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # (other C libraries have no such call)
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 ROW = "r1 long, r2 long"
 
 
@@ -396,10 +419,10 @@ def _found(routed: DataFrame, scratch: Scratch) -> DataFrame:
         small.append(now.join(hot, "key", "left_anti"))
         rest, now = now.join(hot, "key", "left_semi"), None
         if split is not None:
-            now = scratch.save(rest.select(*COLUMNS).mapInArrow(split, CONTEXTS))
+            now = scratch.save(rest.select(*COLUMNS).mapInArrow(_given_back(split), CONTEXTS))
             continue
         once = rest.select("r1", "r2", "start", "context", "alone").distinct()
-        every = scratch.save(once.mapInArrow(_windows, f"window binary, {ROW}, starts array<int>, alone boolean"))
+        every = scratch.save(once.mapInArrow(_given_back(_windows), f"window binary, {ROW}, starts array<int>, alone boolean"))
         # windows by their bytes: (places that two segments of a row share count once)
         places = every.groupBy("window", "r1", "r2").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"), F.bool_or("alone").alias("alone"))
         often = places.groupBy("window").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("window")
@@ -411,7 +434,7 @@ def _found(routed: DataFrame, scratch: Scratch) -> DataFrame:
     for more in small[1:]:
         every = every.unionByName(more)
     ordered = every.repartition("key").sortWithinPartitions("key", "r1", "r2", "start")
-    found = ordered.select("key", "r1", "r2", "start", "context", "alone").mapInArrow(_sort_contexts, SPANS)
+    found = ordered.select("key", "r1", "r2", "start", "context", "alone").mapInArrow(_given_back(_sort_contexts), SPANS)
     return found if spans is None else found.unionByName(spans)
 
 
@@ -423,7 +446,7 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     if not again.isEmpty():
         once = rows.join(again, row, "left_semi").dropDuplicates(row)
         rows = rows.join(again, row, "left_anti").unionByName(once)
-    every = scratch.save(rows.mapInArrow(_emit_anchors, f"a long, c1 long, c2 long, {ROW}, start int, left_ int, length int"))
+    every = scratch.save(rows.mapInArrow(_given_back(_emit_anchors), f"a long, c1 long, c2 long, {ROW}, start int, left_ int, length int"), ROWS)
     # (stored, so that both sides of the join are plain exchanges, which adaptive execution can split at a hot anchor)
     often = scratch.save(every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     shared = scratch.save(every.join(often, "a", "left_semi"))
@@ -446,14 +469,14 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     per_row = scratch.save(told.groupBy(*row).agg(F.collect_list("pair").alias("pairs"), F.collect_list("mark").alias("marks")))
     scratch.drop(kinds)
     chosen = rows.join(per_row, row).select(*row, "text", "pairs", "marks")
-    routed = scratch.save(chosen.mapInArrow(_emit_contexts(STRETCH), CONTEXTS))
+    routed = scratch.save(chosen.mapInArrow(_given_back(_emit_contexts(STRETCH)), CONTEXTS), ROWS)
     scratch.drop(per_row)
-    found = scratch.save(_found(routed, scratch))
+    found = scratch.save(_found(routed, scratch), ROWS)
     scratch.drop(routed)
 
     # a class repeats where the sort found all of its first member
     runs = found.groupBy(*row).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    runs = scratch.save(runs.mapInArrow(_merge_spans, f"{ROW}, spans array<struct<start:int,end:int>>"))
+    runs = scratch.save(runs.mapInArrow(_given_back(_merge_spans), f"{ROW}, spans array<struct<start:int,end:int>>"), ROWS)
     heads = classes.where("n > 1").select("a", "c1", "c2", "first.r1", "first.r2", "first.start", "first.length").join(runs, row)
     inside = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("start") + F.col("length")))
     sure = scratch.save(heads.where(inside).select("a", "c1", "c2"))
@@ -461,9 +484,9 @@ def removals(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     equal = shared.join(sure, ["a", "c1", "c2"], "left_semi").select(*row, F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"))
     whole = again.select(*row, F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("end")).alias("span"))
     every_span = equal.unionByName(runs.select(*row, F.explode("spans").alias("span"))).unionByName(whole)
-    spans = scratch.save(every_span.groupBy(*row).agg(F.collect_list("span").alias("spans")).mapInArrow(_merge_spans, f"{ROW}, spans array<struct<start:int,end:int>>"))
+    spans = scratch.save(every_span.groupBy(*row).agg(F.collect_list("span").alias("spans")).mapInArrow(_given_back(_merge_spans), f"{ROW}, spans array<struct<start:int,end:int>>"), ROWS)
     scratch.drop(shared, sure, runs, found)
-    gone = scratch.save(rows.join(spans, row).select(*row, "text", "spans").mapInArrow(_remove, f"{ROW}, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    gone = scratch.save(rows.join(spans, row).select(*row, "text", "spans").mapInArrow(_given_back(_remove), f"{ROW}, n_removed long, n_spans long, kept_sha256 string, kept string"), ROWS)
     scratch.drop(spans, again)
     return gone
 

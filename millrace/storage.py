@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,17 +29,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """What runs inside drops its shuffle files when it ends: its result is stored, nothing reads them again."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(CLEANUP, before)
+            spark.conf.set(key, before)
 
 
 class Scratch:
@@ -55,10 +55,15 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``df`` stored and read back; its shuffle files go, as nothing reads them again. ``rows``: how many go to Python
+        at a time at most, where they are large."""
         self.count += 1
         path = f"{self.base}/{self.count:03d}"
-        with _shuffles_removed(self.spark):
+        most = int(self.spark.conf.get(ROWS))
+        if rows is not None and (most <= 0 or rows < most):
+            most = rows
+        with _set(self.spark, CLEANUP, "true"), _set(self.spark, ROWS, str(most)):
             df.write.option("compression", "zstd").parquet(path)
         if self.count == 1:
             base, files = self._file_system(self.base)

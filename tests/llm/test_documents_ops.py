@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -264,6 +265,18 @@ def test_suffix_array():
             assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
+def test_sorting_takes_little_memory():
+    rng = np.random.default_rng(4)
+    first = rng.integers(97, 123, 60_000).astype(np.uint8).tobytes()
+    segments = [first, rng.integers(97, 123, 140_000).astype(np.uint8).tobytes(), first[500:9000]]
+    tracemalloc.start()
+    found = suffix_dedup.repeats(segments)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in found] == [list(range(500, 9000 - suffix_dedup.SPAN + 1)), [], list(range(8500 - suffix_dedup.SPAN + 1))]
+    assert most < 64 * sum(map(len, segments))
+
+
 def test_anchors_are_shared_by_equal_windows():
     rng = np.random.default_rng(2)
     shared = rng.integers(97, 100, 200).astype(np.uint8)
